@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of ``barwright.llm`` with a ``NAME``, a ``query`` and perhaps an ``ORACLE_SQL``.
-MODULES = ("op2_lm", "op7_bpe", "op8_substrings", "op9_mixing")
+MODULES = ("op2_lm", "op3_jaccard", "op7_bpe", "op8_substrings", "op9_mixing")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
