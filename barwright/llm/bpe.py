@@ -16,7 +16,6 @@ like an output column is replaced.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 import unicodedata
@@ -31,7 +30,7 @@ from pyspark.sql import types as T
 from barwright.llm.arrow import add_columns
 
 #: Words kept in a worker's cache before it is emptied.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 300_000
 _NEVER = np.int64(1 << 40)
 
 #: Letters, digits and white space below U+0250, where Python's faster ``re`` agrees with the file's pattern.
@@ -58,33 +57,36 @@ class WordBpe:
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.end: str = model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(merges)}
+        ranks = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(merges)}
         size = max([*self.vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         self.left = np.full(size, -1, dtype=np.int64)
         self.right = np.full(size, -1, dtype=np.int64)
         #: When a token comes to be; those of single letters are always there.
         self.born = np.full(size, -1, dtype=np.int64)
-        for (a, b), (rank, made) in self.ranks.items():
+        for (a, b), (rank, made) in ranks.items():
             if self.born[made] < 0:
                 self.left[made], self.right[made], self.born[made] = a, b, rank
-        pairs = np.array([(a << 32) | b for a, b in self.ranks], dtype=np.int64)
+        pairs = np.array([(a << 32) | b for a, b in ranks], dtype=np.int64)
         order = np.argsort(pairs)
         self.pair_keys = pairs[order]
-        self.pair_ranks = np.array([r for r, _ in self.ranks.values()], dtype=np.int64)[order]
+        self.pair_ranks, self.pair_made = np.array(list(ranks.values()), dtype=np.int64)[order].T.copy()
         self.names = [""] * size
         for name, at in self.vocab.items():
             self.names[at] = name
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for name, at in self.added.items():
             self.names[at] = name
+        self.names = np.array(self.names, dtype=object)
         self.added_pattern = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(split.replace("\\s", "\\p{White_Space}"))
         self.longest = max(map(len, self.vocab))
         self.letters = _byte_letters()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.good: dict[int, bool] = {}
+        byte = range(256)
+        self.letter = np.array([self.vocab[self.letters[b]] for b in byte], dtype=np.int64)
+        self.final_letter = np.array([self.vocab[self.letters[b] + self.end] for b in byte], dtype=np.int64)
         self.proposed = self.merged = 0
+        self.forget()
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match; a final token carries the word's end."""
@@ -130,48 +132,88 @@ class WordBpe:
             live = live[more]
         return good
 
-    def merge(self, word: str) -> list[int]:
-        """Exact merging, lowest rank first and leftmost among equals, in n log n."""
-        ids = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.end]]
-        n = len(ids)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(*self.ranks[p], i, *p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in self.ranks]
-        heap = [(rank, i, a, b, made) for rank, made, i, a, b in heap]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else -1
-            if j < 0 or ids[j] != b:
+    def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
+        """Exact merging of all words side by side: each round makes every word's lowest-ranked, leftmost merge."""
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        ids, owner = self.letter[data], np.repeat(np.arange(len(words)), sizes)
+        last = np.cumsum(sizes) - 1
+        ids[last] = self.final_letter[data[last]]
+        rank, made = self.ranked(ids, owner)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            # the best pair of each word: rank first, then place
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            best = np.minimum.reduceat(rank, starts)
+            counts = np.diff(np.concatenate([starts, [len(ids)]]))
+            over = np.repeat(best == _NEVER, counts)
+            if over.any():
+                done.append((owner[over], ids[over]))
+                ids, owner, rank, made = ids[~over], owner[~over], rank[~over], made[~over]
                 continue
-            ids[i], ids[j] = made, -1
-            after[i] = after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (found := self.ranks.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (found[0], x, ids[x], ids[y], found[1]))
-        return [t for t in ids if t >= 0]
+            hits = np.flatnonzero(rank == np.repeat(best, counts))
+            hits = hits[np.concatenate([[True], owner[hits[1:]] != owner[hits[:-1]]])]
+            ids[hits] = made[hits]
+            stay = np.ones(len(ids), dtype=bool)
+            stay[hits + 1] = False
+            at = hits - np.arange(len(hits))
+            ids, owner, rank, made = ids[stay], owner[stay], rank[stay], made[stay]
+            touched = np.concatenate([at, at[at > 0] - 1])
+            right = np.minimum(touched + 1, len(ids) - 1)
+            rank[touched], made[touched] = self.looked_up(ids[touched], ids[right], (owner[touched] == owner[right]) & (right > touched))
+        owners, flat = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(owners, kind="stable")
+        return np.split(flat[order], np.searchsorted(owners[order], np.arange(1, len(words))))
+
+    def looked_up(self, a: np.ndarray, b: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of each pair's merge; never where there is none."""
+        key = (a << 32) | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        found = real & (self.pair_keys[at] == key)
+        return np.where(found, self.pair_ranks[at], _NEVER), self.pair_made[at]
+
+    def ranked(self, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        real = np.zeros(len(ids), dtype=bool)
+        real[:-1] = owner[1:] == owner[:-1]
+        return self.looked_up(ids, np.roll(ids, -1), real)
 
     def learn(self, words: set[str]) -> None:
         """Encode distinct words that aren't in the cache."""
-        letters = self.letters
-        new = list(words)
-        spelt = [w if w.isascii() and w.isprintable() else "".join([letters[x] for x in w.encode()]) for w in new]
-        cuts = [self.propose(w) for w in spelt]
+        letters, new = self.letters, list(words)
+        cuts = [self.propose(w if w.isascii() and w.isprintable() else "".join([letters[x] for x in w.encode()])) for w in new]
         self.proposed += len(new)
         sizes = np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
         flat = np.fromiter(chain.from_iterable(cuts), dtype=np.int64, count=int(sizes.sum()))
         owner = np.repeat(np.arange(len(new)), sizes)
-        seam = owner[1:] == owner[:-1]
-        keys = np.sort((flat[:-1][seam] << 32) | flat[1:][seam])
+        seams = np.flatnonzero(owner[1:] == owner[:-1])
+        pairs = (flat[seams] << 32) | flat[seams + 1]
+        keys = np.sort(pairs)
         keys = keys[np.diff(keys, prepend=-1) != 0]
         fine = self.compatible(keys >> 32, keys & 0xFFFFFFFF)
-        seams = np.flatnonzero(seam)
-        bad = seams[~fine[np.searchsorted(keys, (flat[seams] << 32) | flat[seams + 1])]] if len(keys) else seams
-        for i in set(owner[bad].tolist()):
-            cuts[i] = self.merge(spelt[i])
-            self.merged += 1
-        self.words.update(zip(new, map(tuple, cuts), strict=True))
+        failing = np.zeros(len(new), dtype=bool)
+        if len(keys):
+            failing[owner[seams[~fine[np.searchsorted(keys, pairs)]]]] = True
+        bad = np.flatnonzero(failing)
+        self.merged += len(bad)
+        parts = [flat[~failing[owner]]]
+        if len(bad):
+            exact = self.merge_many([new[i].encode() for i in bad])
+            parts += exact
+            sizes[bad] = [len(x) for x in exact]
+        order = np.concatenate([np.flatnonzero(~failing), bad])
+        sizes = sizes[order]
+        base, first = len(self.sizes), len(self.flat)
+        self.flat = np.concatenate([self.flat, *parts])
+        self.starts = np.concatenate([self.starts, first + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.index.update(zip([new[i] for i in order.tolist()], range(base, base + len(new)), strict=True))
+
+    def forget(self) -> None:
+        """Empty the cache; added tokens stay."""
+        self.index: dict[str | int, int] = {at: i for i, at in enumerate(self.added.values())}
+        self.flat = np.fromiter(self.added.values(), dtype=np.int64, count=len(self.added))
+        self.starts = np.arange(len(self.added))
+        self.sizes = np.ones(len(self.added), dtype=np.int64)
 
     def split(self, text: str) -> list[str]:
         """The normalised text's pieces."""
@@ -180,7 +222,8 @@ class WordBpe:
         text = "σ".join(part.lower() for part in text.split("Σ")) if "Σ" in text else text.lower()
         return (self.pattern if _BEYOND.search(text) else _LATIN).findall(text)
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in one array, and the n + 1 offsets of the texts in it."""
         pieces: list[list[str | int]] = []
         for text in texts:
             if self.added_pattern is None or not self.added_pattern.search(text):
@@ -192,20 +235,25 @@ class WordBpe:
                 own += [*self.split(text[at : m.start()]), self.added[m[0]]]
                 at = m.end()
             pieces.append(own + self.split(text[at:]))
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        for at in self.added.values():
-            self.words[at] = (at,)  # type: ignore[index]
-        new = set().union(*pieces) - self.words.keys()
+        if len(self.index) > CACHED_WORDS:
+            self.forget()
+        new = set().union(*pieces) - self.index.keys()
         if new:
             self.learn(new)
-        known = self.words
-        return [list(chain.from_iterable([known[p] for p in own])) for own in pieces]
+        places = np.fromiter(map(self.index.__getitem__, chain.from_iterable(pieces)), dtype=np.int64)
+        sizes = self.sizes[places]
+        ends = np.cumsum(sizes)
+        values = self.flat[np.repeat(self.starts[places] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        words = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
+        return values.astype(np.int32), np.concatenate([[0], np.concatenate([[0], ends])[words]])
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        values, offsets = self.encode_batch(texts)
+        return [values[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Tokens joined by a space, special ones too, as the library does without a decoder."""
-        names = self.names
-        return " ".join([names[i] for i in ids])
+        return " ".join(self.names[ids].tolist())
 
 
 _LOADED: dict[bytes, WordBpe] = {}
@@ -230,10 +278,8 @@ def encode_decode(docs: DataFrame, vocab_path: str, text: str = "text", ids: str
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         bpe = loaded(source.value)
-        found = bpe.encode_batch([x or "" for x in batch.column(text).to_pylist()])
-        sizes = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        values = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(offsets[-1]))
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(map(bpe.decode, found), type=pa.string())]
+        values, offsets = bpe.encode_batch([x or "" for x in batch.column(text).to_pylist()])
+        texts = [bpe.decode(values[a:b]) for a, b in zip(offsets, offsets[1:])]
+        return [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)), pa.array(texts, type=pa.string())]
 
     return add_columns(docs, {ids: T.ArrayType(T.IntegerType()), decoded: T.StringType()}, run, text)
