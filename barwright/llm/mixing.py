@@ -51,12 +51,17 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
     return leveled.withColumn("target", target.cast("double")).select("mix_source", "source_size", "mix_weight", "target")
 
 
-def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", quality: Column | None = None, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, seed: str = "mix-1", buckets: int = 1024) -> DataFrame:
-    """``docs`` with size, source_size, target, copies (times the document is taken) and taken (words)."""
+def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", size: Column | None = None, quality: Column | None = None, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, seed: str = "mix-1", buckets: int = 1024) -> DataFrame:
+    """``docs`` with size, source_size, target, copies (times the document is taken) and taken (words).
+
+    ``size`` and ``quality`` default to the words and the symbol share of ``text``. Pass them as
+    columns worked out before, and ``docs`` without texts, where only the decisions matter.
+    """
     made = ("size", "source_size", "target", "copies", "taken")
+    size = word_count(F.col(text)) if size is None else size
     quality = quality_weight(F.col(text)) if quality is None else quality
     unit = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(id).cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    rows = docs.withColumns({"mix_size": word_count(F.col(text)), "mix_key": -F.log(unit) / quality})
+    rows = docs.withColumns({"mix_size": size, "mix_key": -F.log(unit) / quality})
     rows = rows.withColumn("mix_bucket", F.floor((1 - F.exp(-F.col("mix_key"))) * buckets).cast("int"))
     rows = rows.select(*[c for c in docs.columns if c.lower() not in made], "mix_size", "mix_key", "mix_bucket")
     ranges = rows.groupBy(F.col(source).alias("mix_source"), "mix_bucket").agg(F.sum("mix_size").alias("mix_words"))

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm.mixing import mix
+from barwright.llm.mixing import mix, quality_weight
+from barwright.llm.words import word_count
+from barwright.session import cut
 
 NAME = "op9_mix_sources"
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    # the text ends here: only its size and weight go through the exchange
-    return mix(docs).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # texts are read once: their sizes and weights go to the shared folder, and only these are sorted and joined
+    measured = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), quality_weight(F.col("text")).alias("quality")))
+    mixed = mix(measured, size=F.col("words"), quality=F.col("quality"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
 ORACLE_SQL = r"""
