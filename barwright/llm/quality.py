@@ -68,7 +68,9 @@ def with_statistics(docs: DataFrame, text: str = "text", keep_text: bool = True)
         "words_per_line": rate("n_words", "q_n_lines"),
         "log_words": F.log1p(F.col("n_words").cast("double")),
     })
-    return rows.select(*[f"`{c}`" for c in base.columns if keep_text or c != text], *BASE, *FEATURES)
+    # always true, but not to the optimizer: it must not move a caller's filter below, where each use would make the arrays again
+    here = F.spark_partition_id() >= 0
+    return rows.select(*[f"`{c}`" for c in base.columns if keep_text or c != text], *(F.when(here, F.col(c)).alias(c) for c in (*BASE, *FEATURES)))
 
 
 def base_failed() -> Column:
