@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from barwright.llm.arrow import utf8
-from barwright.llm.blocks import blobs, bucket_of, by_bucket, groups, in_blocks, pack, partitions, squeeze, unpack, unsqueeze
+from barwright.llm.blocks import blobs, by_bucket, groups, in_blocks, pack, shares, squeeze, unpack, unsqueeze
 from barwright.llm.words import hashed_words, mix, window_hashes, word_count
 
 
@@ -61,8 +61,8 @@ def stupid_backoff(docs: DataFrame, text: str = "text", order: int = 2, backoff:
     made = T.StructType.fromDDL("n_words bigint, n_backed_off bigint, log_score double, per_word double")
     names = {f.name for f in made.fields}
     total = docs.agg(F.sum(word_count(F.col(text)))).first()[0] or 0
-    buckets = partitions(docs)
-    rows = in_blocks(docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in names]), id, text)
+    blocks, buckets = shares(docs, text)
+    rows = in_blocks(docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in names]), id, text, blocks)
 
     def ask(table: pa.Table) -> pa.Table:
         block = _Block(table, text, order)
@@ -89,18 +89,17 @@ def stupid_backoff(docs: DataFrame, text: str = "text", order: int = 2, backoff:
         block = _Block(table, text, order)
         totals = np.zeros(len(block.distinct), dtype=np.int64)
         if answers.num_rows:
-            own = bucket_of(block.distinct, buckets)
-            ranks = np.argsort(own, kind="stable")
-            edges = np.searchsorted(own[ranks], np.arange(buckets + 1))
+            places = dict(by_bucket(block.distinct, buckets))
             for bucket, data in zip(answers.column("bucket").to_pylist(), blobs(answers.column("totals")), strict=True):
-                totals[ranks[edges[bucket] : edges[bucket + 1]]] = unsqueeze(data)
+                totals[places[bucket]] = unsqueeze(data)
         n_words = np.diff(block.words)
         counts = []
         for which, ends in zip(block.which, block.ends, strict=True):
             found = totals[which]
             if held_out and len(which):
-                keys, inverse, own_counts = np.unique(block.owner[ends] * len(totals) + which, return_inverse=True, return_counts=True)
-                found = found - own_counts[inverse]
+                ranks, first = groups((block.owner[ends] * len(totals) + which).astype(np.uint64))
+                sizes = np.diff(np.concatenate([first, [len(ranks)]]))
+                found[ranks] -= np.repeat(sizes, sizes)
             counts.append(found)
         # from single words up, the longest order with a count wins
         everything = np.maximum(total - (n_words if held_out else 0), 1)[block.owner].astype(np.float64)
