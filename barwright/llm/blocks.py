@@ -22,9 +22,19 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def in_blocks(docs: DataFrame, id: str, text: str, blocks: int | None = None) -> DataFrame:
+BLOCK_BYTES, BUCKET_BYTES = 5 << 19, 12 << 20
+
+
+def shares(docs: DataFrame, text: str) -> tuple[int, int]:
+    """Numbers of blocks and buckets: by the bytes of the texts, and enough of them to busy all tasks."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    tasks = partitions(docs)
+    return max(1, total // BLOCK_BYTES, min(4 * tasks, total >> 18)), max(1, total // BUCKET_BYTES, min(tasks, total >> 19))
+
+
+def in_blocks(docs: DataFrame, id: str, text: str, blocks: int) -> DataFrame:
     """``docs`` with a column ``block``, dealt by id and text; equal rows fall together."""
-    return docs.withColumn("block", F.pmod(F.xxhash64(id, text), F.lit(blocks or 4 * partitions(docs))).cast("int"))
+    return docs.withColumn("block", F.pmod(F.xxhash64(id, text), F.lit(blocks)).cast("int"))
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -36,10 +46,9 @@ def by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarra
     """Each bucket that has hashes, and their places in order."""
     own = bucket_of(hashes, buckets)
     order = np.argsort(own, kind="stable")
-    edges = np.searchsorted(own[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        if edges[b] < edges[b + 1]:
-            yield b, order[edges[b] : edges[b + 1]]
+    starts = np.flatnonzero(np.diff(own[order], prepend=-1))
+    for places in np.split(order, starts[1:]) if len(order) else ():
+        yield int(own[places[0]]), places
 
 
 def pack(hashes: np.ndarray) -> bytes:

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from barwright.llm.arrow import utf8
-from barwright.llm.blocks import blobs, bucket_of, by_bucket, groups, in_blocks, pack, partitions, squeeze, unpack, unsqueeze
+from barwright.llm.blocks import blobs, by_bucket, groups, in_blocks, pack, shares, squeeze, unpack, unsqueeze
 from barwright.llm.words import hashed_words, window_hashes, window_starts
 
 _LAST = np.iinfo(np.int64).max
@@ -58,8 +58,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", widt
     """``docs`` with n_words, removed (maximal word intervals, end exclusive), n_removed and kept_text."""
     made = T.StructType.fromDDL("n_words bigint, removed array<struct<start:bigint,end:bigint>>, n_removed bigint, kept_text string")
     names = {f.name for f in made.fields}
-    buckets = partitions(docs)
-    rows = in_blocks(docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in names]), id, text)
+    blocks, buckets = shares(docs, text)
+    rows = in_blocks(docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in names]), id, text, blocks)
 
     def ask(table: pa.Table) -> pa.Table:
         block = _Block(table, id, text, width)
@@ -91,11 +91,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", widt
         block = _Block(table, id, text, width)
         late = np.zeros(len(block.lead), dtype=bool)
         if answers.num_rows:
-            own = bucket_of(block.hashes[block.lead], buckets)
-            order = np.argsort(own, kind="stable")
-            edges = np.searchsorted(own[order], np.arange(buckets + 1))
+            asked_places = dict(by_bucket(block.hashes[block.lead], buckets))
             for bucket, bits in zip(answers.column("bucket").to_pylist(), blobs(answers.column("late")), strict=True):
-                places = order[edges[bucket] : edges[bucket + 1]]
+                places = asked_places[bucket]
                 late[places] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(places)).astype(bool)
         ids = block.ids[block.doc]
         gone = late[block.which] | ((ids > ids[block.lead][block.which]) & (ids != _LAST))
