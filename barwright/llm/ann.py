@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barwright.llm.blocks import partitions
 from barwright.llm.hilbert import hilbert_keys
@@ -83,8 +84,10 @@ class Curves:
 def nearest(vectors: DataFrame, asks: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding", orderings: int = 16, dims: int = 8, bits: int = 7, recall: float = 0.96, sample: int = 4000) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest found of each row for which ``asks`` holds."""
     spark = vectors.sparkSession
+    element = vectors.schema[vector].dataType.elementType
+    kind, wire = ("array<float>", "<f4") if isinstance(element, T.FloatType) else ("array<double>", "<f8")
     out_schema = f"query_id long, rank int, {id} long, score double"
-    rows = vectors.where(F.col(id).isNotNull() & valid(F.col(vector))).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), asks.alias("asks"))
+    rows = vectors.where(F.col(id).isNotNull() & valid(F.col(vector))).select(F.col(id).cast("long").alias("id"), F.col(vector).cast(kind).alias("vector"), asks.alias("asks"))
     length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     if length is None:
         return spark.createDataFrame([], out_schema)
@@ -98,9 +101,9 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5, id: str = "vec_id", ve
             n = batch.num_rows
             if not n:
                 continue
-            x = np.asarray(batch.column("vector").flatten()).reshape(n, -1)
+            x = np.asarray(batch.column("vector").flatten(), dtype=np.float64).reshape(n, -1)
             keys = curves.keys(x / np.linalg.norm(x, axis=1, keepdims=True))
-            packed = pa.array([v.tobytes() for v in x], type=pa.binary())
+            packed = pa.array([v.tobytes() for v in x.astype(wire)], type=pa.binary())
             for number, key in enumerate(keys):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number, dtype=np.int32)), pa.array(key), batch.column("node"), batch.column("least"), batch.column("asks"), packed], names=["ordering", "key", "node", "least", "asks", "vector"])
 
@@ -138,7 +141,7 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 5, id: str = "vec_id", ve
 
     def meet(table: pa.Table) -> pa.Table:
         asked = np.asarray(table.column("asks").combine_chunks().cast(pa.uint8())).astype(bool)
-        x = np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype=np.float64).reshape(table.num_rows, -1)
+        x = np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype=wire).reshape(table.num_rows, -1).astype(np.float64)
         nodes, least = (np.asarray(table.column(c).combine_chunks()) for c in ("node", "least"))
         norms = np.sqrt((x * x).sum(axis=1))
         own = np.flatnonzero(~asked)

@@ -102,7 +102,7 @@ def stupid_backoff(docs: DataFrame, text: str = "text", order: int = 2, backoff:
                 found[ranks] -= np.repeat(sizes, sizes)
             counts.append(found)
         # from single words up, the longest order with a count wins
-        everything = np.maximum(total - (n_words if held_out else 0), 1)[block.owner].astype(np.float64)
+        everything = np.maximum(total - (n_words if held_out else 0 * n_words), 1)[block.owner].astype(np.float64)
         logs = np.log(np.maximum(counts[0], 1)) - np.log(everything)
         depth = np.minimum(np.arange(len(block.owner)) - block.words[:-1][block.owner], order - 1)
         level = np.zeros(len(block.owner), dtype=np.int64)
