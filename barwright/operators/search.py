@@ -140,7 +140,8 @@ def combo_signals(bars: DataFrame, combos: list[dict[str, Any]]) -> DataFrame:
     windows = sorted({c[k] for c in combos for k in ("short_window", "long_window")})
     place = {w: i + 1 for i, w in enumerate(windows)}
     order = in_order(bars, ("symbol",))
-    means = bars.select("symbol", "ts", "close", (F.row_number().over(order) - 1).alias("row_idx"), F.array(*[rolling_mean("close", w, order) for w in windows]).alias("now"))
+    ties = [c for c in ("seq", "block_no", "block_row") if c in bars.columns]
+    means = bars.select("symbol", "ts", "close", *ties, (F.row_number().over(order) - 1).alias("row_idx"), F.array(*[rolling_mean("close", w, order) for w in windows]).alias("now"))
     means = means.withColumn("before", F.lag("now").over(order))
     rows = [(n, int(c["short_window"]), int(c["long_window"]), float(c.get("position_size", 1.0)), place[c["short_window"]], place[c["long_window"]]) for n, c in enumerate(combos)]
     table = bars.sparkSession.createDataFrame(rows, "combo_id int, short_window int, long_window int, position_size double, s int, l int")

@@ -368,7 +368,7 @@ sized AS (SELECT r.symbol, period, total_return, least(4, n // 2) AS width, row_
 rolled AS (SELECT a.symbol, a.place, avg(b.total_return) AS mean FROM sized a JOIN sized b ON b.symbol = a.symbol AND b.place BETWEEN a.place - a.width + 1 AND a.place WHERE a.place >= a.width GROUP BY 1, 2)"""
 
 
-@register(Q.chain(*_WF_RESULTS, _TURNS) + "SELECT symbol, round(stddev_pop(total_return), 6) AS return_volatility, round(stddev_pop(total_return_pct), 6) AS return_pct_volatility, round(stddev_pop(sharpe_ratio), 6) AS sharpe_volatility, round(avg(total_return) / stddev_pop(total_return), 6) AS return_consistency, round(avg(total_return_pct) / stddev_pop(total_return_pct), 6) AS return_pct_consistency, round(any_value(temporal_stability), 6) AS temporal_stability, round(any_value(rolling), 6) AS rolling_mean_stability, round(any_value(temporal_stability), 6) AS trend_consistency FROM results JOIN temporal USING (symbol) JOIN (SELECT symbol, 1 / (1 + stddev_pop(mean)) AS rolling FROM rolled GROUP BY symbol) USING (symbol) GROUP BY symbol")
+@register(Q.chain(*_WF_RESULTS, _TURNS) + "SELECT symbol, round(stddev_pop(total_return), 6) AS return_volatility, round(stddev_pop(total_return_pct), 6) AS return_pct_volatility, round(stddev_pop(sharpe_ratio), 6) AS sharpe_volatility, round(coalesce(CASE WHEN stddev_pop(total_return) > 0 THEN avg(total_return) / stddev_pop(total_return) END, 0), 6) AS return_consistency, round(coalesce(CASE WHEN stddev_pop(total_return_pct) > 0 THEN avg(total_return_pct) / stddev_pop(total_return_pct) END, 0), 6) AS return_pct_consistency, round(any_value(temporal_stability), 6) AS temporal_stability, round(any_value(CASE WHEN n >= 4 THEN rolling END), 6) AS rolling_mean_stability, round(any_value(CASE WHEN n >= 4 THEN temporal_stability END), 6) AS trend_consistency FROM results JOIN temporal USING (symbol) LEFT JOIN (SELECT symbol, 1 / (1 + stddev_pop(mean)) AS rolling FROM rolled GROUP BY symbol) USING (symbol) GROUP BY symbol")
 def wf_stability(spark, sf_dir):
     return S.stability_metrics(R.walk_forward(orders_bars(spark, sf_dir), _WF_STRATEGY))
 
@@ -378,7 +378,7 @@ def wf_summary_statistics(spark, sf_dir):
     return S.summary_statistics(R.walk_forward(orders_bars(spark, sf_dir), _WF_STRATEGY))
 
 
-@register(Q.chain(*_WF_RESULTS) + "SELECT symbol, round(avg(total_return) / stddev_samp(total_return), 6) AS consistency_ratio, round(count(*) FILTER (WHERE total_return > 0) / count(*) * 100, 6) AS positive_periods_pct FROM results GROUP BY symbol")
+@register(Q.chain(*_WF_RESULTS) + "SELECT symbol, round(coalesce(CASE WHEN stddev_samp(total_return) > 0 THEN avg(total_return) / stddev_samp(total_return) END, 0), 6) AS consistency_ratio, round(count(*) FILTER (WHERE total_return > 0) / count(*) * 100, 6) AS positive_periods_pct FROM results GROUP BY symbol")
 def wf_consistency(spark, sf_dir):
     return S.consistency(R.walk_forward(orders_bars(spark, sf_dir), _WF_STRATEGY))
 
