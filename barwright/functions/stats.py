@@ -150,6 +150,20 @@ def success_rate(results: DataFrame, tried: int, by: tuple[str, ...] = ()) -> Da
     return results.groupBy(*by).agg(F.count("*").alias("completed"), (F.count("*") / F.lit(tried) * 100).alias("success_rate"))
 
 
+def long_form(metrics: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """(by, metric, value) of a row of figures."""
+    names = [c for c in metrics.columns if c not in by]
+    return metrics.select(*by, *[F.col(c).cast("double").alias(c) for c in names]).unpivot(list(by), names, "metric", "value")
+
+
+def result_vectors(results: DataFrame, order: str, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """(by, total_returns, sharpe_ratios, max_drawdowns, win_rates) as arrays in order; few results a group."""
+    row = F.struct(order, "total_return", F.coalesce("sharpe_ratio", F.lit(0.0)).alias("sharpe"), "max_drawdown", "win_rate")
+    held = results.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    names = {"total_returns": "total_return", "sharpe_ratios": "sharpe", "max_drawdowns": "max_drawdown", "win_rates": "win_rate"}
+    return held.select(*by, *[F.col(f"rows.{c}").alias(n) for n, c in names.items()])
+
+
 # dashboards
 
 

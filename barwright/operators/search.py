@@ -183,6 +183,26 @@ def best_by_metric(results: DataFrame, *by: str) -> DataFrame:
     return rows.select(*by, F.explode(each).alias("e")).select(*by, "e.metric", "e.value", "e.combo_id")
 
 
+@dataclass(frozen=True)
+class SearchResult:
+    """A combination with its result row, for callers that want objects."""
+
+    parameters: dict[str, Any]
+    result: Any
+
+    def __post_init__(self) -> None:
+        if not isinstance(self.parameters, dict):
+            raise ValueError("Parameters must be a dictionary")
+        if self.result is None:
+            raise ValueError("A result is needed")
+
+
+def as_objects(ranked_results: DataFrame, names: tuple[str, ...] = ("short_window", "long_window", "position_size")) -> Iterator[SearchResult]:
+    """Rows of a ranked table one by one, streamed to the driver."""
+    for row in ranked_results.toLocalIterator():
+        yield SearchResult({n: row[n] for n in names}, row)
+
+
 class Optimizer(ABC):
     """Combinations of a space, evaluated on bars and ranked."""
 

@@ -173,6 +173,14 @@ class DocumentSink(Sink):
     def create_index(self, spark: SparkSession, kind: str) -> DataFrame:
         return spark.createDataFrame([], MAPPINGS[kind])
 
+    def available(self) -> bool:
+        """Whether the index can be written to."""
+        try:
+            os.makedirs(self.path, exist_ok=True)
+        except OSError:
+            return False
+        return os.access(self.path, os.W_OK)
+
     def indices(self) -> list[str]:
         return sorted(n for n in os.listdir(self.path) if n.startswith(f"{self.prefix}-")) if os.path.isdir(self.path) else []
 
@@ -235,6 +243,18 @@ def results_json(ranked: DataFrame, path: str, metadata: dict[str, Any] | None =
         json.dump({"metadata": metadata or {}, "results": rows}, f, indent=2, default=str)
 
 
+def with_run(child: DataFrame, runs: DataFrame) -> DataFrame:
+    """Rows of a child frame with what the run's metadata says, by backtest_id; clashing columns stay the child's."""
+    extra = [c for c in runs.columns if c == "backtest_id" or c not in child.columns]
+    return child.join(runs.select(*extra), "backtest_id")
+
+
+def data_views(prefix: str = "barwright") -> list[dict[str, str]]:
+    """Dashboard views of the documents: title, index pattern and time field."""
+    times = {"backtests": "created_at", "portfolio": "timestamp", "trades": "timestamp", "positions": "exit_timestamp"}
+    return [{"title": f"{prefix} {kind}", "pattern": f"{prefix}-{kind}*", "time_field": field} for kind, field in times.items()]
+
+
 class IndexAdmin:
     """Tables of a database by prefix: list with counts and bytes, and drop after a dry run."""
 

@@ -17,7 +17,7 @@ from barwright.operators import robustness as R
 from barwright.operators.cleaning import Cleaner, FillNulls, GapReport, InfiniteToNull, OhlcRules, QualityRules, Step, default_cleaner
 from barwright.operators.fold import Engine, run_backtest, simulate, trades, trades_sql
 from barwright.operators.risk import FixedRisk, KellyRisk, RiskManager
-from barwright.operators.search import MA_SPACE, METRICS, GridSearch, ParameterSpace, RandomSearch, best_by_metric, create_optimizer, decimal_range, evaluate, ranked
+from barwright.operators.search import MA_SPACE, METRICS, GridSearch, ParameterSpace, RandomSearch, SearchResult, as_objects, best_by_metric, create_optimizer, decimal_range, evaluate, ranked
 from barwright.operators.signals import GivenSignals, MaCrossover
 from barwright.operators.validation import validate_bars, validate_monte_carlo, validate_position_sizes, validate_walk_forward
 
@@ -409,6 +409,11 @@ def test_search(spark):
     values = [r.max_drawdown for r in ranked(found, "max_drawdown").collect()]
     assert values == sorted(values)  # the worst comes first
     assert [r.total_return_pct for r in ranked(found, "nonsense", 2).collect()] == sorted([r.total_return_pct for r in found.collect()], reverse=True)[:2]
+    one = next(as_objects(ranked(found, "win_rate")))
+    assert set(one.parameters) == {"short_window", "long_window", "position_size"}
+    for wrong in ((None, 1), ({}, None)):
+        with pytest.raises(ValueError):
+            SearchResult(*wrong)
     best = {r.metric: r for r in best_by_metric(found).collect()}
     assert set(best) == set(METRICS) and best["total_trades"].value == max(r.total_trades for r in found.collect())
     space = ParameterSpace({"short_window": {"type": "int", "min": 3, "max": 4}, "long_window": {"type": "int", "min": 10, "max": 11}})
@@ -486,5 +491,8 @@ def test_statistics(spark):
     assert S.consistency(df).first().positive_periods_pct == 100
     assert [r.period for r in S.result_table(df, "total_return").orderBy("period").collect()] == [1, 2, 3, 4, 5]
     assert S.success_rate(df, 10).first().success_rate == 50
+    assert S.long_form(S.consistency(df)).count() == 2
+    v = S.result_vectors(df, "period").first()
+    assert v.total_returns == [100, 200, 300, 400, 500] and len(v.sharpe_ratios) == 5
     w = S.walk_forward_metrics(df, spark.createDataFrame([("X", 0.1), ("X", 0.2), ("X", None)], "symbol string, ret double")).first()
     assert w.total_periods == 5 and w.combined_sharpe_ratio == pytest.approx(math.sqrt(252) * 0.15 / np.std([0.1, 0.2], ddof=1))

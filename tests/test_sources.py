@@ -159,6 +159,9 @@ def test_small_helpers(spark, run, tmp_path):
     assert sinks.readable_size(2048) == "2.0 KB" and len(sinks.run_id()) == 36
     sinks.results_json(run.results, str(tmp_path / "r.json"), {"a": 1})
     assert json.loads((tmp_path / "r.json").read_text())["metadata"] == {"a": 1}
+    assert sinks.DocumentSink(path=str(tmp_path / "new")).available() and [v["time_field"] for v in sinks.data_views()] == ["created_at", "timestamp", "timestamp", "exit_timestamp"]
+    joined = sinks.with_run(sinks.trades_frame(run.trades, "r1"), sinks.metadata_frame(run.results, "r1"))
+    assert joined.count() == run.trades.count() and "strategy_name" in joined.columns
     admin = sinks.IndexAdmin(spark, prefix="none_such")
     assert admin.tables() == [] and admin.counts() == {} and admin.drop(confirm=True) == []
 
