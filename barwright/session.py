@@ -41,3 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a checkpoint in the shared folder; survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def visible(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it.
+
+    A cluster gets it with --py-files or an image; there the extra path does no harm.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    held = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in held:
+        environment["PYTHONPATH"] = os.pathsep.join([*held, root])
