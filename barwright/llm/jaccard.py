@@ -227,7 +227,8 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     found = components(edges)
     # texts of each component, in tiles
     leads = signed.where("solid").groupBy(F.col("one").alias("node")).agg(F.min(id).alias("lead"), F.count("*").alias("copies"))
-    sizes = found.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    # sizes and names are written: their joins are then plain exchanges, which Spark splits where a component is hot
+    sizes = cut(found.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")))
     members = found.join(sizes, "root").join(leads, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     spread = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("tile")).alias("i"), F.greatest(k, F.col("tile")).alias("j")))
     work = members.join(named, members["lead"] == named[id]).select("root", "tiles", "tile", "node", "copies", text, F.explode(spread).alias("ij")).select("root", "tiles", "tile", "node", "copies", text, "ij.i", "ij.j")
@@ -237,7 +238,7 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     per_node = verified.groupBy("node").agg(F.sum("links").alias("links"), F.min(F.when(~F.col("split"), F.col("root"))).alias("own"))
     per_node = per_node.join(joined, "node", "left").select("node", "links", F.coalesce("root", "own", "node").alias("class"))
     info = leads.join(per_node, "node", "left").select("node", "lead", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class", "node").alias("class"))
-    names = info.groupBy("class").agg(F.min("lead").alias("class_id"))
+    names = cut(info.groupBy("class").agg(F.min("lead").alias("class_id")))
     info = info.join(names, "class").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     with_words = signed.where("solid").select(id, F.col("one").alias("node")).join(info, "node").select(id, "class_id", "n_links")
     alone = signed.where("not solid").select(id, F.col(id).alias("class_id"), F.lit(0).cast("long").alias("n_links"))
