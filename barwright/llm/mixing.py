@@ -62,15 +62,17 @@ def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str =
     quality = quality_weight(F.col(text)) if quality is None else quality
     unit = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(id).cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     rows = docs.withColumns({"mix_size": size, "mix_key": -F.log(unit) / quality})
-    rows = rows.withColumn("mix_bucket", F.floor((1 - F.exp(-F.col("mix_key"))) * buckets).cast("int"))
-    rows = rows.select(*[c for c in docs.columns if c.lower() not in made], "mix_size", "mix_key", "mix_bucket")
-    ranges = rows.groupBy(F.col(source).alias("mix_source"), "mix_bucket").agg(F.sum("mix_size").alias("mix_words"))
-    sources = targets(ranges.groupBy("mix_source").agg(F.sum("mix_words").alias("source_size")), weights, cap)
-    ahead = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("mix_ahead", F.coalesce(F.sum("mix_words").over(ahead), F.lit(0)))
-    ranges = ranges.join(sources, ranges["mix_source"].eqNullSafe(sources["mix_source"])).select(ranges["mix_source"].alias("mix_name"), F.col("mix_bucket").alias("mix_range"), "mix_ahead", "source_size", "target")
-    rows = rows.join(ranges, rows[source].eqNullSafe(ranges["mix_name"]) & (rows["mix_bucket"] == ranges["mix_range"]))
-    inside = Window.partitionBy(source, "mix_bucket").orderBy("mix_key", id, "mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    # a null source is told by a column of its own, so that join and window share one plain partitioning
+    held = {"mix_bucket": F.floor((1 - F.exp(-F.col("mix_key"))) * buckets).cast("int"), "mix_null": F.col(source).isNull(), "mix_source": F.coalesce(F.col(source), F.lit(""))}
+    rows = rows.withColumns(held).select(*[c for c in docs.columns if c.lower() not in made], "mix_size", "mix_key", *held)
+    ranges = rows.groupBy("mix_null", "mix_source", "mix_bucket").agg(F.sum("mix_size").alias("mix_words"))
+    named = F.when(~F.col("mix_null"), F.col("mix_source")).alias("mix_source")
+    sources = targets(ranges.groupBy("mix_null", "mix_source").agg(F.sum("mix_words").alias("source_size")).select(named, "source_size"), weights, cap)
+    sources = sources.select(F.col("mix_source").isNull().alias("mix_null"), F.coalesce("mix_source", F.lit("")).alias("mix_source"), "source_size", "target")
+    ahead = Window.partitionBy("mix_null", "mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("mix_ahead", F.coalesce(F.sum("mix_words").over(ahead), F.lit(0))).join(sources, ["mix_null", "mix_source"]).drop("mix_words")
+    rows = rows.join(ranges, ["mix_null", "mix_source", "mix_bucket"])
+    inside = Window.partitionBy("mix_null", "mix_source", "mix_bucket").orderBy("mix_key", id, "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     epochs = F.floor(F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)) + 1e-9)
     start = F.col("mix_ahead") + F.coalesce(F.sum("mix_size").over(inside), F.lit(0))
     picked = (F.col("mix_size") > 0) & (start + F.col("mix_size") / 2 <= F.col("target") - F.col("mix_epochs") * F.col("source_size"))
