@@ -40,6 +40,12 @@ _BLANK = "\\x09-\\x0d\\x20\\x85\\xa0"
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_BLANK}{_LETTERS}{_DIGITS}]+")
 _BEYOND = re.compile("[^\x00-ɏ]")
 
+#: Letters and digits of Unicode 17, which the library's tables don't know yet, and
+#: lower case letters that it knows and Python's tables don't.
+_UNKNOWN = "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479"
+_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {0x10D50 + i: 0x10D70 + i for i in range(22)} | {0xA7CE: 0xA7CF} | {0x16EA0 + i: 0x16EBB + i for i in range(25)}
+_NEW_CAPITALS = re.compile(f"[{''.join(map(chr, _LOWER))}]")
+
 
 def _byte_letters() -> list[str]:
     """The printable stand-in of each byte: itself where printable, else the next letter from U+0100 on."""
@@ -79,7 +85,11 @@ class WordBpe:
         self.names = np.array(self.names, dtype=object)
         self.added_pattern = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pattern = regex.compile(split.replace("\\s", "\\p{White_Space}"))
+        unknown = "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in _UNKNOWN.split())
+        split = split.replace("[^\\s\\p{L}\\p{N}]", f"(?:[^\\p{{White_Space}}\\p{{L}}\\p{{N}}]|[{unknown}])")
+        for kind in ("\\p{L}", "\\p{N}"):
+            split = split.replace(f"[{kind}]", f"[{kind}--[{unknown}]]")
+        self.pattern = regex.compile(split, regex.V1)
         self.longest = max(map(len, self.vocab))
         self.letters = _byte_letters()
         byte = range(256)
@@ -219,6 +229,8 @@ class WordBpe:
         """The normalised text's pieces."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
+        if _NEW_CAPITALS.search(text):
+            text = text.translate(_LOWER)
         text = "σ".join(part.lower() for part in text.split("Σ")) if "Σ" in text else text.lower()
         return (self.pattern if _BEYOND.search(text) else _LATIN).findall(text)
 
