@@ -135,7 +135,7 @@ def spanning(sig: np.ndarray, least: list[int]) -> np.ndarray:
     return leader
 
 
-def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 4, tolerance: float = 1e-6, tile: int = 512) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 4, tolerance: float = 1e-6, tile: int = 128) -> DataFrame:
     """(id, class_id, n_links): each row's class, named by its smallest id, and how many other rows are similar to it."""
     hashes = bands * rows
     least = least_matches(threshold, tolerance, hashes)
@@ -248,6 +248,8 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 
 def _shared(grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """How many n-grams each two texts share: products of incidence columns, a few thousand n-grams at a time."""
+    if not len(grams):
+        return np.zeros((n, n))
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
     first = np.concatenate([[True], grams[1:] != grams[:-1]])

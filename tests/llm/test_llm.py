@@ -210,7 +210,7 @@ def test_jaccard_classes(spark, none, odd):
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_classes(rows)
-    for tile in (512, 8):  # whole components, and pairs of tiles
+    for tile in (128, 8):  # whole components, and pairs of tiles
         got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_classes(df, tile=tile).collect()}
         assert got == want
     assert jaccard.jaccard_classes(none).count() == 0
