@@ -14,6 +14,18 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: Bytes of text worked on at once; one longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
 
+#: Bytes of a batch between the JVM and Python; each task holds a few of them outside its heap.
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> None:
+    """Bound the session's Arrow batches by bytes where they may be larger; long rows make smaller batches."""
+    conf = df.sparkSession.conf
+    held = (conf.get(_LIMIT, None) or "").rstrip("b")
+    if held.isdigit() and int(held) > BATCH_BYTES:
+        conf.set(_LIMIT, f"{BATCH_BYTES}b")
+
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str | None, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes in column ``text`` each."""
@@ -47,6 +59,7 @@ def add_columns(df: DataFrame, made: dict[str, T.DataType], function: Callable[[
 
     An input column whose name equals a made one, in any case, is replaced.
     """
+    small_batches(df)
     taken = {name.lower() for name in made}
     kept = [c for c in df.columns if c.lower() not in taken]
     used = kept if text is None or text in kept else [*kept, text]

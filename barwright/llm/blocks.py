@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barwright.llm.arrow import small_batches
+
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -27,6 +29,7 @@ BLOCK_BYTES, BUCKET_BYTES = 5 << 19, 12 << 20
 
 def shares(docs: DataFrame, text: str) -> tuple[int, int]:
     """Numbers of blocks and buckets: by the bytes of the texts, and enough of them to busy all tasks."""
+    small_batches(docs)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     tasks = partitions(docs)
     return max(1, total // BLOCK_BYTES, min(4 * tasks, total >> 18)), max(1, total // BUCKET_BYTES, min(tasks, total >> 19))

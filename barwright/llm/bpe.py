@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from barwright.llm.arrow import add_columns
 
 #: Words kept in a worker's cache before it is emptied.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 _NEVER = np.int64(1 << 40)
 
 #: Letters, digits and white space below U+0250, where Python's faster ``re`` agrees with the file's pattern.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.arrow import chunks, utf8
+from barwright.llm.arrow import chunks, small_batches, utf8
 from barwright.llm.blocks import by_bucket, partitions
 from barwright.llm.components import components
 from barwright.llm.words import hashed_words, mix, powers, window_hashes, window_starts
@@ -137,6 +137,7 @@ def spanning(sig: np.ndarray, least: list[int]) -> np.ndarray:
 
 def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 4, tolerance: float = 1e-6, tile: int = 128) -> DataFrame:
     """(id, class_id, n_links): each row's class, named by its smallest id, and how many other rows are similar to it."""
+    small_batches(docs)
     hashes = bands * rows
     least = least_matches(threshold, tolerance, hashes)
     buckets = partitions(docs)
