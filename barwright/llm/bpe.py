@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 
 from barwright.llm.arrow import add_columns
 
-#: Words kept in a worker's cache before it is emptied.
-CACHED_WORDS = 200_000
+#: Words kept in a worker's cache; beyond it only those of the batch at hand stay.
+CACHED_WORDS = 300_000
 _NEVER = np.int64(1 << 40)
 
 #: Letters, digits and white space below U+0250, where Python's faster ``re`` agrees with the file's pattern.
@@ -218,12 +218,16 @@ class WordBpe:
         self.sizes = np.concatenate([self.sizes, sizes])
         self.index.update(zip([new[i] for i in order.tolist()], range(base, base + len(new)), strict=True))
 
-    def forget(self) -> None:
-        """Empty the cache; added tokens stay."""
-        self.index: dict[str | int, int] = {at: i for i, at in enumerate(self.added.values())}
-        self.flat = np.fromiter(self.added.values(), dtype=np.int64, count=len(self.added))
-        self.starts = np.arange(len(self.added))
-        self.sizes = np.ones(len(self.added), dtype=np.int64)
+    def forget(self, kept: set[str | int] | None = None) -> None:
+        """Empty the cache but for the words ``kept``; added tokens stay."""
+        words = [w for w in kept or () if isinstance(w, str)]
+        places = [self.index[w] for w in words]
+        added = list(self.added.values())
+        own = [self.flat[self.starts[p] : self.starts[p] + self.sizes[p]] for p in places]
+        self.sizes = np.array([1] * len(added) + [len(x) for x in own], dtype=np.int64)
+        self.flat = np.concatenate([np.array(added, dtype=np.int64), *own])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.index: dict[str | int, int] = dict(zip([*added, *words], range(len(self.sizes)), strict=True))
 
     def split(self, text: str) -> list[str]:
         """The normalised text's pieces."""
@@ -247,9 +251,10 @@ class WordBpe:
                 own += [*self.split(text[at : m.start()]), self.added[m[0]]]
                 at = m.end()
             pieces.append(own + self.split(text[at:]))
+        wanted = set().union(*pieces)
         if len(self.index) > CACHED_WORDS:
-            self.forget()
-        new = set().union(*pieces) - self.index.keys()
+            self.forget(wanted & self.index.keys())
+        new = wanted - self.index.keys()
         if new:
             self.learn(new)
         places = np.fromiter(map(self.index.__getitem__, chain.from_iterable(pieces)), dtype=np.int64)
