@@ -5,14 +5,19 @@ their classes), and each leaf keeps which contents and which child sequences it
 many distinct pages. A node's importance weighs two parts: its content, one less the
 logarithm to the base of the node's pages of the pages that hold the same content, on
 average - 0 where every page repeats it, 1 where every page has its own; and its
-presentation, the entropy of its child sequences to the same base. Branches below
-``threshold`` are noise on that host. Elements that present themselves as noise (navigation,
-footers, forms, adverts, comments and so on, by tag, class, id or role) have no importance
-anywhere, so they go from single pages too; ``article`` and ``main`` are always important.
+presentation, the entropy of its child sequences to the same base. In branches below
+``threshold``, inside ``article`` and ``main`` too, the contents that are below it themselves
+are noise on that host; a content of few pages stays, whatever its branch. Elements that
+present themselves as noise (navigation, footers, forms, adverts, comments and so on, by tag,
+class, id or role) have no importance anywhere, so they go from single pages too.
 
-Trees are grouped counts: a host's pages are never gathered. Equal pages count once. The
-noise of all hosts is joined to the pages as a broadcast only while it has at most
-``BROADCAST_PATHS`` rows; else, hosts being uneven, by host and salt.
+Copies of an article are not boilerplate: pages with the same text count once, an article of
+which nothing would stay is kept, and a heading inside stays with the block that it heads. A
+repeated paragraph in the same path as an article's own ones stays with them.
+
+Trees are grouped counts: a host's pages are never gathered. The noise of all hosts is joined
+to the pages as a broadcast only while it has at most ``BROADCAST_PATHS`` rows; else, hosts
+being uneven, by host and salt.
 
 Defined results: null and empty pages give an empty text; pages whose parts are all noise
 too; a page without article and main gives all its other blocks; cut-off pages count up to
@@ -38,6 +43,9 @@ from barwright.session import cut
 BROADCAST_PATHS = 100_000
 SALTS = 16
 
+#: What is known of a block's place.
+INSIDE, HEADING = 1, 2
+
 #: Elements by what they do to the text around them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math object".split())
@@ -53,6 +61,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 _DIGITS = re.compile(r"\d+")
+_HEADING = re.compile(r"h[1-6]\Z")
 
 
 def host_of(url: str | None) -> str:
@@ -68,10 +77,10 @@ class _Element:
         self.children: list[str] = []
 
 
-def parse(page: str) -> tuple[list[tuple[int, bool, str]], dict[int, int]]:
-    """Blocks (path, inside article or main, text) outside noise in page order, and the hash of each path's child sequences."""
+def parse(page: str) -> tuple[list[tuple[int, int, str]], dict[int, int]]:
+    """Blocks (path, INSIDE article or main | HEADING, text) outside noise in page order, and the hash of each path's child sequences."""
     stack = [_Element("", 0, False, False, True)]
-    blocks: list[tuple[int, bool, str]] = []
+    blocks: list[tuple[int, int, str]] = []
     shapes: dict[int, int] = {}
     run: list[str] = []
     at, size = 0, len(page)
@@ -82,7 +91,7 @@ def parse(page: str) -> tuple[list[tuple[int, bool, str]], dict[int, int]]:
             run.clear()
             if text:
                 top = next(e for e in reversed(stack) if e.block)
-                blocks.append((top.path, top.main, text))
+                blocks.append((top.path, INSIDE * top.main | HEADING * bool(_HEADING.match(top.tag)), text))
 
     def pop() -> None:
         element = stack[-1]
@@ -183,14 +192,32 @@ def parse(page: str) -> tuple[list[tuple[int, bool, str]], dict[int, int]]:
     return blocks, shapes
 
 
-def _chosen(blocks: list[tuple[int, bool, str]], noisy: set[int]) -> str:
-    """Text of the article, or else of all blocks that the style tree doesn't call noise."""
-    inside = [b for b in blocks if b[1]]
-    return "\n\n".join([b[2] for b in inside or blocks if b[1] or b[0] not in noisy])
+def _content(path: int, text: str) -> int:
+    """A content at its path, as one number."""
+    return xxhash.xxh64_intdigest(text, seed=path) >> 1
+
+
+def _chosen(blocks: list[tuple[int, int, str]], noise: set[int]) -> str:
+    """Text of the article, or else of all blocks, without what the style tree calls noise."""
+    own = [b for b in blocks if b[1] & INSIDE] or blocks
+    if not noise:
+        return "\n\n".join([b[2] for b in own])
+    kept, headed = [], False
+    for path, place, text in reversed(own):
+        stays = _content(path, text) not in noise
+        if place == INSIDE | HEADING:
+            stays |= headed
+        else:
+            headed = stays
+        if stays:
+            kept.append(text)
+    if not kept and own[:1] and own[0][1] & INSIDE:
+        kept = [b[2] for b in reversed(own)]
+    return "\n\n".join(reversed(kept))
 
 
-def noise_paths(pages: DataFrame, url: str = "url", html: str = "html", threshold: float = 0.25, content_weight: float = 0.9, least_pages: int = 5) -> DataFrame:
-    """(host, path) of the branches whose importance is below ``threshold`` on hosts where ``least_pages`` have them."""
+def noise_contents(pages: DataFrame, url: str = "url", html: str = "html", threshold: float = 0.25, content_weight: float = 0.9, least_pages: int = 5) -> DataFrame:
+    """(host, content): contents at their paths, both of an importance below ``threshold``, on hosts where ``least_pages`` have the path."""
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, html, 4 << 20):
@@ -198,30 +225,33 @@ def noise_paths(pages: DataFrame, url: str = "url", html: str = "html", threshol
             for link, page in zip(batch.column(url).to_pylist(), batch.column(html).to_pylist(), strict=True):
                 if not page:
                     continue
-                host, key = host_of(link), xxhash.xxh64_intdigest(page) >> 1
+                host = host_of(link)
                 blocks, shapes = parse(page)
-                # articles are important whatever the tree says
-                rows |= {(host, path, xxhash.xxh64_intdigest(text) >> 1, key, True) for path, main, text in blocks if not main}
-                wanted = {path for path, main, _ in blocks if not main}
-                rows |= {(host, path, shape >> 1, key, False) for path, shape in shapes.items() if path in wanted}
+                key = xxhash.xxh64_intdigest("\n".join([text for _, _, text in blocks])) >> 1
+                rows |= {(host, path, _content(path, text), key, True) for path, _, text in blocks}
+                rows |= {(host, path, shapes.get(path, 0) >> 1, key, False) for path in {b[0] for b in blocks}}
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["host", "path", "feature", "page", "content"])
 
     found = pages.select(url, html).mapInArrow(leaves, "host string, path long, feature long, page long, content boolean").distinct()
-    counted = found.groupBy("host", "path", "content", "feature").agg(F.count("*").alias("k"))
+    # read twice below
+    counted = cut(found.groupBy("host", "path", "content", "feature").agg(F.count("*").alias("k")))
+    # a page has one row of child sequences for each of its paths, so these rows count the path's pages
     node = counted.groupBy("host", "path", "content").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log(F.col("k").cast("double"))).alias("s"))
-    # one less the mean of log k / log m: for child sequences this is their entropy to the base m
-    part = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log(F.col("m").cast("double")))).otherwise(1.0)
-    both = node.groupBy("host", "path").agg(F.max(F.when(F.col("content"), part)).alias("text"), F.max(F.when(~F.col("content"), part)).alias("shape"), F.max(F.when(F.col("content"), F.col("m"))).alias("pages"))
-    importance = content_weight * F.col("text") + (1 - content_weight) * F.coalesce("shape", F.lit(0.0))
-    return both.where((F.col("pages") >= least_pages) & (importance < threshold)).select("host", "path")
+    both = node.groupBy("host", "path").agg(*[F.max(F.when(F.col("content") == is_text, F.col(c))).alias(f"{name}_{c}") for name, is_text in (("text", True), ("shape", False)) for c in ("m", "s")])
+    pages_log = F.log(F.col("shape_m").cast("double"))
+    # one less the mean of log k / log pages: for child sequences this is their entropy to that base
+    both = both.where(F.col("shape_m") >= max(2, least_pages)).withColumns({"text": 1 - F.col("text_s") / (F.col("text_m") * pages_log), "shape": 1 - F.col("shape_s") / (F.col("shape_m") * pages_log)})
+    low = both.where(content_weight * F.col("text") + (1 - content_weight) * F.col("shape") < threshold).select("host", "path", pages_log.alias("pages_log"))
+    repeated = counted.where(F.col("content") & (F.col("k") > 1)).join(low, ["host", "path"])
+    return repeated.where(content_weight * (1 - F.log(F.col("k").cast("double")) / F.col("pages_log")) < threshold).select("host", F.col("feature").alias("content"))
 
 
 def extract(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.25) -> DataFrame:
     """``pages`` without ``html``, with text and n_chars."""
-    noise = cut(noise_paths(pages, url, html, threshold))
+    noise = cut(noise_contents(pages, url, html, threshold))
     few = noise.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
-    by_host = noise.groupBy(F.col("host").alias("sst_host")).agg(F.collect_list("path").alias("sst_noise"))
+    by_host = noise.groupBy(F.col("host").alias("sst_host")).agg(F.collect_list("content").alias("sst_noise"))
     made = {"text": T.StringType(), "n_chars": T.LongType()}
     own = pages.select(*[f"`{c}`" for c in pages.columns if c.lower() not in made])
     own = own.withColumn("sst_host", F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST.pattern, 1)))

@@ -484,6 +484,22 @@ def test_style_tree_drops_what_a_site_repeats(spark, monkeypatch, most):
         assert r.text == re.search(r"class=body><p>(.*?)</p>", page)[1]
 
 
+def test_style_tree_judges_branches_of_articles(spark):
+    """What every page repeats inside its article goes; copied articles and the headings of own text stay."""
+    card = "<div class=card><p>Written by our staff</p><p>Read more each day</p></div>"
+    own = [(i, "http://own.example/x", f"<article><h2>Summary</h2><p>{prose(20, 10**6)}</p>{card}</article>") for i in range(12)]
+    copied = prose(30, 10**6)
+    copies = [(i, "http://copy.example/x", f"<div class=count>{prose(3, 10**6)}</div><article><p>{copied}</p></article>") for i in range(12, 24)]
+    stubs = [(i, "http://stub.example/x", f"<main><h1>{prose(4, 10**6)}</h1><p>{'Nothing here yet' if i < 42 else prose(9, 10**6)}</p></main>") for i in range(24, 44)]
+    df = spark.createDataFrame(own + copies + stubs, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in style_tree.extract(df).collect()}
+    for i, _, page in own:
+        assert got[i] == "Summary\n\n" + re.search("<h2>Summary</h2><p>(.*?)</p>", page)[1]
+    assert all(got[i] == copied for i, _, _ in copies)
+    for i, _, page in stubs[-2:]:  # a text of its own in a branch that most pages repeat
+        assert got[i] == "\n\n".join(re.search("<h1>(.*)</h1><p>(.*)</p>", page).groups())
+
+
 def test_html_query(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
     got = {r.page_id: r.text for r in op10_html.query(spark, sf_dir).collect()}
