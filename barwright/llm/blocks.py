@@ -64,18 +64,43 @@ def unpack(data: bytes) -> np.ndarray:
     return wide.view("<u8").reshape(-1)
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Whole numbers in the narrowest type that holds them, compressed; a byte says which."""
+def pack_sorted(hashes: np.ndarray) -> bytes:
+    """Low 56 bits that ascend, by their steps: five bytes as they are, the two top ones compressed."""
+    low = hashes & np.uint64((1 << 56) - 1)
+    planes = np.ascontiguousarray(np.diff(low, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    top = [bytes(pa.compress(planes[k].tobytes(), codec="zstd", asbytes=True)) for k in (5, 6)]
+    return b"".join([len(low).to_bytes(8, "little"), len(top[0]).to_bytes(8, "little"), planes[:5].tobytes(), *top])
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    n, size = (int.from_bytes(data[k : k + 8], "little") for k in (0, 8))
+    planes = np.zeros((8, n), dtype=np.uint8)
+    planes[:5] = np.frombuffer(data, dtype=np.uint8, count=5 * n, offset=16).reshape(5, n)
+    at = 16 + 5 * n
+    for k, part in ((5, data[at : at + size]), (6, data[at + size :])):
+        planes[k] = np.frombuffer(pa.decompress(part, decompressed_size=n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
+def squeeze(values: np.ndarray, by_byte: bool = False) -> bytes:
+    """Whole numbers in the narrowest type that holds them, compressed, perhaps byte after byte of all; a byte says which."""
     low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
     kind = next(k for k in ("u1", "<u2", "<u4", "<i8") if k == "<i8" or (low >= 0 and high <= np.iinfo(k).max))
     raw = values.astype(kind).tobytes()
-    return bytes([np.dtype(kind).itemsize]) + len(raw).to_bytes(8, "little") + bytes(pa.compress(raw, codec="zstd", asbytes=True))
+    width = np.dtype(kind).itemsize
+    if by_byte:
+        raw = np.frombuffer(raw, dtype=np.uint8).reshape(-1, width).T.tobytes()
+    return bytes([width + 16 * by_byte]) + len(raw).to_bytes(8, "little") + bytes(pa.compress(raw, codec="zstd", asbytes=True))
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
-    kind = {1: "u1", 2: "<u2", 4: "<u4", 8: "<i8"}[data[0]]
+    width = data[0] % 16
+    kind = {1: "u1", 2: "<u2", 4: "<u4", 8: "<i8"}[width]
     size = int.from_bytes(data[1:9], "little")
-    return np.frombuffer(pa.decompress(data[9:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", dtype=kind).astype(np.int64)
+    raw = pa.decompress(data[9:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    if data[0] > 16:
+        raw = np.frombuffer(raw, dtype=np.uint8).reshape(width, -1).T.tobytes()
+    return np.frombuffer(raw, dtype=kind).astype(np.int64)
 
 
 def groups(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of ``barwright.llm`` with a ``NAME``, a ``query`` and perhaps an ``ORACLE_SQL``.
-MODULES = ("op1_ann", "op2_lm", "op3_jaccard", "op4_chat", "op5_quality", "op6_secrets", "op7_bpe", "op8_substrings", "op9_mixing", "op10_html")
+MODULES = ("op1_ann", "op2_lm", "op2_trigrams", "op3_jaccard", "op4_chat", "op5_quality", "op6_secrets", "op7_bpe", "op8_substrings", "op9_mixing", "op10_html")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

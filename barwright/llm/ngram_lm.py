@@ -1,10 +1,14 @@
 """Stupid-backoff scores of documents under n-gram counts of the whole corpus.
 
-Counting and scoring are one relational round: blocks of documents send their distinct
+Counting and scoring are one relational round, or two beyond bigrams: blocks of documents send their distinct
 n-grams of every order, with counts, to hash buckets - the count tables, partitioned by
-hash - which sum them over the corpus and send each block the totals of its own n-grams.
+hash - which sum them over the corpus and send each block what others hold of its own n-grams.
 Inside its block each document joins its n-grams to these totals and sums their scores.
 
+A longer n-gram occurs in another block only if all bigrams in it do. So beyond bigrams the
+buckets first tell each block, by a bit each, which of its bigrams others hold; the block then
+asks only for the n-grams made of those, and holds all occurrences of the others itself.
+
 With ``held_out`` a document's own occurrences are taken off all counts first, so that it is
 scored by the rest of the corpus and back-off takes place; else every n-gram of the corpus
 counts at least once and none ever backs off.
@@ -20,6 +24,8 @@ named like an output column is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +34,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from barwright.llm.arrow import utf8
-from barwright.llm.blocks import blobs, by_bucket, groups, in_blocks, pack, shares, squeeze, unpack, unsqueeze
+from barwright.llm.blocks import blobs, by_bucket, groups, in_blocks, pack_sorted, shares, squeeze, unpack_sorted, unsqueeze
 from barwright.llm.words import hashed_words, mix, window_hashes, word_count
 
 
+#: Orders of the first round.
+SHORT = 2
+
+
 class _Block:
     """A block's n-grams: for each order the word number each ends at, and its place among the distinct ones of all orders."""
 
@@ -54,6 +64,29 @@ class _Block:
         which = np.empty(len(flat), dtype=np.int64)
         which[ranks] = np.repeat(np.arange(len(first)), sizes)
         self.which = np.split(which, np.cumsum([len(e) for e in self.ends])[:-1])
+        #: Distinct n-grams of the first round.
+        self.first = np.zeros(len(self.distinct), dtype=bool)
+        for w in self.which[:SHORT]:
+            self.first[w] = True
+
+    def dealt(self, asked: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each bucket with the places among the distinct n-grams of those ``asked``, by the bits that are sent."""
+        places = np.flatnonzero(asked)
+        for bucket, own in by_bucket(self.distinct[places], buckets):
+            own = places[own]
+            yield bucket, own[np.argsort(self.distinct[own] << np.uint64(8), kind="stable")]
+
+    def second(self, shared: np.ndarray) -> np.ndarray:
+        """Distinct longer n-grams of which all bigrams are ``shared`` with other blocks."""
+        asked = np.zeros(len(self.distinct), dtype=bool)
+        whole = shared[self.which[1]] if len(self.which) > SHORT else None
+        for n in range(SHORT, len(self.which)):
+            # an n-gram is the shorter one that ends with it and the one that ends a word before
+            at = np.searchsorted(self.ends[n - 1], self.ends[n])
+            before = np.searchsorted(self.ends[n - 1], self.ends[n] - 1)
+            whole = whole[at] & whole[before]
+            asked[self.which[n][whole]] = True
+        return asked & ~self.first
 
 
 def stupid_backoff(docs: DataFrame, text: str = "text", order: int = 2, backoff: float = 0.4, held_out: bool = True, id: str = "doc_id") -> DataFrame:
@@ -64,34 +97,62 @@ def stupid_backoff(docs: DataFrame, text: str = "text", order: int = 2, backoff:
     blocks, buckets = shares(docs, text)
     rows = in_blocks(docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in names]), id, text, blocks)
 
-    def ask(table: pa.Table) -> pa.Table:
-        block = _Block(table, text, order)
+    def ask(block: _Block, table: pa.Table, asked: np.ndarray) -> pa.Table:
         out: dict[str, list] = {"bucket": [], "block": [], "grams": [], "counts": []}
         number = table.column("block")[0].as_py()
-        for bucket, places in by_bucket(block.distinct, buckets):
-            for key, value in zip(out, (bucket, number, pack(block.distinct[places]), squeeze(block.counts[places])), strict=True):
+        for bucket, places in block.dealt(asked, buckets):
+            for key, value in zip(out, (bucket, number, pack_sorted(block.distinct[places]), squeeze(block.counts[places], True)), strict=True):
                 out[key].append(value)
-        return pa.table(out, schema=asked)
+        return pa.table(out, schema=questions)
+
+    def ask_short(table: pa.Table) -> pa.Table:
+        block = _Block(table, text, min(order, SHORT))
+        return ask(block, table, block.first)
 
-    def answer(table: pa.Table) -> pa.Table:
-        each = [unpack(x) for x in blobs(table.column("grams"))]
-        counts = np.concatenate([unsqueeze(x) for x in blobs(table.column("counts"))])
+    def ask_long(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return questions.empty_table()
+        block = _Block(table, text, order)
+        shared = np.zeros(len(block.distinct), dtype=bool)
+        held = dict(zip(told.column("bucket").to_pylist(), blobs(told.column("bits")), strict=True))
+        for bucket, places in block.dealt(block.first, buckets):
+            shared[places] = np.unpackbits(np.frombuffer(held[bucket], dtype=np.uint8), count=len(places))
+        return ask(block, table, block.second(shared))
+
+    def summed(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Each row's counts and the corpus's."""
+        if not table.num_rows:
+            return [], []
+        each = [unpack_sorted(x) for x in blobs(table.column("grams"))]
+        own = [unsqueeze(x) for x in blobs(table.column("counts"))]
+        counts = np.concatenate(own)
         ranks, first = groups(np.concatenate(each))
         sizes = np.diff(np.concatenate([first, [len(ranks)]]))
         totals = np.empty(len(counts), dtype=np.int64)
         totals[ranks] = np.repeat(np.add.reduceat(counts[ranks], first), sizes)
-        parts = np.split(totals, np.cumsum([len(x) for x in each])[:-1])
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "totals": [squeeze(p) for p in parts]}, schema=answered)
+        return own, np.split(totals, np.cumsum([len(x) for x in each])[:-1])
+
+    def tell(table: pa.Table) -> pa.Table:
+        bits = [np.packbits(every > own).tobytes() for own, every in zip(*summed(table), strict=True)]
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": bits}, schema=told)
+
+    def answer(table: pa.Table, long: bool = False) -> pa.Table:
+        totals = [squeeze(every - own, True) for own, every in zip(*summed(table), strict=True)]
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "long": [long] * len(totals), "totals": totals}, schema=answered)
+
+    def answer_both(short: pa.Table, long: pa.Table) -> pa.Table:
+        return pa.concat_tables([answer(short), answer(long, True)])
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return out_schema.empty_table()
         block = _Block(table, text, order)
-        totals = np.zeros(len(block.distinct), dtype=np.int64)
-        if answers.num_rows:
-            places = dict(by_bucket(block.distinct, buckets))
-            for bucket, data in zip(answers.column("bucket").to_pylist(), blobs(answers.column("totals")), strict=True):
-                totals[places[bucket]] = unsqueeze(data)
+        totals = block.counts.copy()
+        held = {(k, b): x for k, b, x in zip(answers.column("long").to_pylist(), answers.column("bucket").to_pylist(), blobs(answers.column("totals")), strict=True)}
+        for bucket, places in block.dealt(block.first, buckets):
+            totals[places] += unsqueeze(held[False, bucket])
+        for bucket, places in block.dealt(block.second(totals > block.counts), buckets):
+            totals[places] += unsqueeze(held[True, bucket])
         n_words = np.diff(block.words)
         counts = []
         for which, ends in zip(block.which, block.ends, strict=True):
@@ -120,10 +181,17 @@ def stupid_backoff(docs: DataFrame, text: str = "text", order: int = 2, backoff:
         base = table.drop_columns(["block"])
         return pa.table([*base.columns, pa.array(n_words), pa.array(backed), pa.array(sums), mean], names=[*base.column_names, *(f.name for f in made.fields)]).cast(out_schema)
 
-    asked = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
-    answered = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary())])
+    questions = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+    told = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
+    answered = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("long", pa.bool_()), ("totals", pa.binary())])
     out_type = T.StructType([f for f in rows.schema.fields if f.name != "block"] + made.fields)
     out_schema = to_arrow_schema(out_type)
-    questions = rows.groupBy("block").applyInArrow(ask, "bucket int, block int, grams binary, counts binary")
-    answers = questions.groupBy("bucket").applyInArrow(answer, "block int, bucket int, totals binary")
+    asked_type, answer_type = "bucket int, block int, grams binary, counts binary", "block int, bucket int, long boolean, totals binary"
+    short = rows.groupBy("block").applyInArrow(ask_short, asked_type)
+    if order > SHORT:
+        bits = short.groupBy("bucket").applyInArrow(tell, "block int, bucket int, bits binary")
+        long = rows.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(ask_long, asked_type)
+        answers = short.groupBy("bucket").cogroup(long.groupBy("bucket")).applyInArrow(answer_both, answer_type)
+    else:
+        answers = short.groupBy("bucket").applyInArrow(lambda table: answer(table), answer_type)
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, out_type)

@@ -169,6 +169,37 @@ def test_stupid_backoff(spark, docs, none, odd):
     assert own == 0  # every n-gram of the corpus is counted
 
 
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_packed_hashes_come_back(n):
+    low = np.sort(np.random.default_rng(n).integers(0, 1 << 56, n, dtype=np.uint64))
+    assert (blocks.unpack_sorted(blocks.pack_sorted(low | np.uint64(3 << 56))) == low).all()
+    for values in (low.astype(np.int64), low.astype(np.int64) % 300, low.astype(np.int64) % 3):
+        assert (blocks.unsqueeze(blocks.squeeze(values, True)) == values).all()
+
+
+def test_stupid_backoff_by_trigrams(spark, docs):
+    """Scores of longer orders equal brute force, and the query that is registered takes trigrams."""
+    from barwright.llm import catalog
+
+    assert "op2_stupid_backoff_trigrams" in catalog.queries() and "op2_stupid_backoff_trigrams" in catalog.oracle_sql()
+    split = [words(t) for t in TEXTS]
+    for order in (3, 4):
+        own = [collections.Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)) for w in split]
+        every = sum(own, collections.Counter())
+        total = sum(map(len, split))
+        for r in ngram_lm.stupid_backoff(docs.select("doc_id", "text"), order=order).collect():
+            w, mine = split[r.doc_id], own[r.doc_id]
+            rest = lambda gram: every[gram] - mine[gram]
+            score, backed = 0.0, 0
+            for i in range(len(w)):
+                depth = min(i, order - 1)
+                level = next((n for n in range(depth, 0, -1) if rest(tuple(w[i - n : i + 1])) > 0 and rest(tuple(w[i - n : i])) > 0), 0)
+                score += np.log(rest(tuple(w[i - level : i + 1])) / rest(tuple(w[i - level : i]))) if level else np.log(max(rest((w[i],)), 1) / max(total - len(w), 1))
+                score += (depth - level) * np.log(0.4)
+                backed += depth > level
+            assert (r.n_words, r.n_backed_off) == (len(w), backed) and abs(r.log_score - score) < 1e-6 * max(1, abs(score))
+
+
 # 3
 
 
