@@ -11,16 +11,19 @@ are noise on that host; a content of few pages stays, whatever its branch. Eleme
 present themselves as noise (navigation, footers, forms, adverts, comments and so on, by tag,
 class, id or role) have no importance anywhere, so they go from single pages too.
 
+Blocks outside ``article`` and ``main`` are judged alike, so a title before an article and a
+text beside teasers stay, and so does what the tree can't judge on a host of few pages.
+
 Copies of an article are not boilerplate: pages with the same text count once, an article of
-which nothing would stay is kept, and a heading inside stays with the block that it heads. A
-repeated paragraph in the same path as an article's own ones stays with them.
+which nothing would stay is kept if it is longer than what stays outside, and a heading inside
+stays with the block that it heads. A repeated paragraph in the same path as an article's own ones stays with them.
 
 Trees are grouped counts: a host's pages are never gathered. The noise of all hosts is joined
 to the pages as a broadcast only while it has at most ``BROADCAST_PATHS`` rows; else, hosts
 being uneven, by host and salt.
 
 Defined results: null and empty pages give an empty text; pages whose parts are all noise
-too; a page without article and main gives all its other blocks; cut-off pages count up to
+too; a page on which the tree judges nothing gives all its other blocks; cut-off pages count up to
 where they end; null urls share one host; rows may repeat; an empty table gives an empty
 table; an input column named like an output column is replaced.
 """
@@ -198,22 +201,25 @@ def _content(path: int, text: str) -> int:
 
 
 def _chosen(blocks: list[tuple[int, int, str]], noise: set[int]) -> str:
-    """Text of the article, or else of all blocks, without what the style tree calls noise."""
-    own = [b for b in blocks if b[1] & INSIDE] or blocks
+    """Text of all blocks, inside an article or not, without what the style tree calls noise."""
     if not noise:
-        return "\n\n".join([b[2] for b in own])
+        return "\n\n".join([b[2] for b in blocks])
     kept, headed = [], False
-    for path, place, text in reversed(own):
+    for at in range(len(blocks) - 1, -1, -1):
+        path, place, text = blocks[at]
         stays = _content(path, text) not in noise
         if place == INSIDE | HEADING:
             stays |= headed
         else:
             headed = stays
         if stays:
-            kept.append(text)
-    if not kept and own[:1] and own[0][1] & INSIDE:
-        kept = [b[2] for b in reversed(own)]
-    return "\n\n".join(reversed(kept))
+            kept.append(at)
+    inside = [at for at, b in enumerate(blocks) if b[1] & INSIDE]
+    size = lambda places: sum(len(blocks[at][2]) for at in places)
+    # a copied article, not a teaser beside the page's text
+    if not any(blocks[at][1] & INSIDE for at in kept) and size(inside) > size(kept):
+        kept += inside
+    return "\n\n".join([blocks[at][2] for at in sorted(kept)])
 
 
 def noise_contents(pages: DataFrame, url: str = "url", html: str = "html", threshold: float = 0.25, content_weight: float = 0.9, least_pages: int = 5) -> DataFrame:
