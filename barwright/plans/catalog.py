@@ -316,7 +316,7 @@ def random_combinations(spark, sf_dir):
 
 @register()
 def random_search_top_k(spark, sf_dir):
-    return _results(ranked(evaluate(orders_bars(spark, sf_dir), MA_SPACE.random(12, seed=42), ENGINE), "sharpe_ratio", 10), "combo_id", "symbol")
+    return _results(ranked(evaluate(orders_bars(spark, sf_dir), MA_SPACE.random(MA_SPACE.suggested_samples(), seed=42), ENGINE), "sharpe_ratio", 10), "combo_id", "symbol")
 
 
 # walk-forward

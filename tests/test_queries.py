@@ -40,3 +40,13 @@ def test_one_shuffle_for_signals_and_fold(spark, sf_dir):
 def test_scan_reads_used_columns_only(spark, sf_dir):
     plan = catalog.bars_slice(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "o_orderstatus" not in plan and "PushedFilters: [IsNotNull(o_orderdate)" in plan
+
+
+def test_random_search_draws_the_suggested_number(spark, sf_dir, monkeypatch):
+    from barwright.plans import catalog
+
+    drawn = []
+    run = catalog.evaluate
+    monkeypatch.setattr(catalog, "evaluate", lambda bars, combos, engine: drawn.append(len(combos)) or run(bars, combos, engine))
+    catalog.QUERIES["random_search_top_k"](spark, sf_dir)
+    assert drawn == [catalog.MA_SPACE.suggested_samples()] == [163]
