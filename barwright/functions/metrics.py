@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from barwright.operators.fold import Engine
+from barwright.operators.fold import Engine, Lots
 
 YEAR = 252
 ROLLING = 30
@@ -69,42 +74,32 @@ def pnl_statistics(pnl: Column) -> dict[str, Column]:
     }
 
 
-def fifo_pairs(events: Column) -> Column:
-    """struct<pairs, wins> of an ordered array<struct<..., side, price, quantity>>: sells eat the oldest lots.
+def win_rate(trades: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """(keys, pairs, wins, win_rate in percent) by first-in first-out lots.
 
-    Every lot that a sell touches is a pair, won if the sell's price is higher; quantities
-    don't weigh.
+    The fold has counted the lots of its own sells. Other trades (row_idx, side, price,
+    quantity) are streamed through the same lots in order; a run's open lots are all that is held.
     """
-    lot = "array<struct<price:double,quantity:double>>"
-    start = F.struct(F.array().cast(lot).alias("lots"), F.lit(0).alias("pairs"), F.lit(0).alias("wins"))
-
-    def bought(a: Column, e: Column) -> Column:
-        return F.struct(F.concat(a["lots"], F.array(F.struct(e["price"].alias("price"), e["quantity"].alias("quantity")))).alias("lots"), a["pairs"].alias("pairs"), a["wins"].alias("wins"))
-
-    def sold(a: Column, e: Column) -> Column:
-        begin = F.struct(e["quantity"].alias("left"), F.array().cast(lot).alias("lots"), a["pairs"].alias("pairs"), a["wins"].alias("wins"))
-
-        def eat(s: Column, x: Column) -> Column:
-            touched, whole = s["left"] > 0, x["quantity"] <= s["left"]
-            rest = F.struct(x["price"].alias("price"), F.when(touched, x["quantity"] - s["left"]).otherwise(x["quantity"]).alias("quantity"))
-            return F.struct(
-                F.when(touched & whole, s["left"] - x["quantity"]).when(touched, F.lit(0.0)).otherwise(s["left"]).alias("left"),
-                F.when(touched & whole, s["lots"]).otherwise(F.concat(s["lots"], F.array(rest))).alias("lots"),
-                (s["pairs"] + touched.cast("int")).alias("pairs"),
-                (s["wins"] + (touched & (e["price"] > x["price"])).cast("int")).alias("wins"),
-            )
-
-        done = F.aggregate(a["lots"], begin, eat)
-        return F.struct(done["lots"].alias("lots"), done["pairs"].alias("pairs"), done["wins"].alias("wins"))
-
-    return F.aggregate(events, start, lambda a, e: F.when(e["side"] == "buy", bought(a, e)).otherwise(sold(a, e)), lambda a: F.struct(a["pairs"].alias("pairs"), a["wins"].alias("wins")))
-
-
-def win_rate(trades: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """(keys, pairs, wins, win_rate in percent) by first-in first-out lots."""
-    event = F.struct("row_idx", "side", "price", "quantity")
-    runs = trades.groupBy(*keys).agg(F.sort_array(F.collect_list(event)).alias("events")).withColumn("p", fifo_pairs(F.col("events")))
-    return runs.select(*keys, F.col("p.pairs").alias("pairs"), F.col("p.wins").alias("wins"), F.coalesce(F.try_divide(F.col("p.wins") * 100.0, F.col("p.pairs")), F.lit(0.0)).alias("win_rate"))
+    if {"lots_matched", "lots_won"} <= set(trades.columns):
+        runs = trades.groupBy(*keys).agg(F.coalesce(F.sum("lots_matched"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("lots_won"), F.lit(0)).alias("wins"))
+    else:
+        rows = trades.select(*keys, "side", "price", "quantity", F.row_number().over(_order(keys)).alias("lot_place"))
+        schema = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in keys] + [T.StructField(n, T.LongType()) for n in ("pairs", "wins")])
+        arrow = to_arrow_schema(schema, timestamp_utc=True)
+
+        def match(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lots, pairs, wins = Lots(), 0, 0
+            for batch in batches:
+                for side, price, quantity in zip(*(batch.column(c).to_pylist() for c in ("side", "price", "quantity")), strict=True):
+                    if side == "buy":
+                        lots.buy(price, quantity)
+                    else:
+                        matched, won = lots.sell(price, quantity)
+                        pairs, wins = pairs + matched, wins + won
+            yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], type=arrow.field(n).type) for n, k in zip(keys, key, strict=True)), pa.array([pairs]), pa.array([wins])], schema=arrow)
+
+        runs = rows.groupBy(*keys).applyInArrow(match, schema)
+    return runs.withColumn("win_rate", F.coalesce(F.try_divide(F.col("wins") * 100.0, F.col("pairs")), F.lit(0.0)))
 
 
 def summarize(simulated: DataFrame, keys: tuple[str, ...] = ("symbol",), engine: Engine = Engine(), strategy: str = "Simple MA Strategy") -> DataFrame:  # noqa: B008
@@ -120,13 +115,11 @@ def summarize(simulated: DataFrame, keys: tuple[str, ...] = ("symbol",), engine:
     rows = worth.withColumns({"peak": peak, "ret": F.try_divide("portfolio_value", F.lag("portfolio_value").over(order)) - 1, "before": last})
     pnl = F.when((F.col("side") == "sell") & (F.col("before.side") == "buy"), F.col("value") - F.col("before.value"))
     rows = rows.withColumns({"pnl": pnl, "drawdown": (F.col("portfolio_value") - F.col("peak")) / F.col("peak")})
-    event = F.when(F.col("side").isNotNull(), F.struct("row_idx", "side", F.col("close").alias("price"), "quantity"))
     runs = rows.groupBy(*keys).agg(
         F.min("ts").alias("start_date"), F.max("ts").alias("end_date"), F.max_by("portfolio_value", "row_idx").alias("final_capital"), (F.min("drawdown") * 100).alias("max_drawdown"), sharpe(F.col("ret")).alias("sharpe_ratio"),
-        F.count("side").alias("total_trades"), F.count("*").alias("n_bars"), *[c.alias(n) for n, c in pnl_statistics(F.col("pnl")).items()], F.sort_array(F.collect_list(event)).alias("events"), F.max("error").alias("error"))
-    runs = runs.withColumn("fifo", fifo_pairs(F.col("events")))
+        F.count("side").alias("total_trades"), F.count("*").alias("n_bars"), *[c.alias(n) for n, c in pnl_statistics(F.col("pnl")).items()], F.sum("lots_matched").alias("pairs"), F.sum("lots_won").alias("wins"), F.max("error").alias("error"))
     capital = F.lit(float(engine.initial_capital))
     return runs.select(
         *keys, F.lit(strategy).alias("strategy_name"), "start_date", "end_date", capital.alias("initial_capital"), "final_capital", (F.col("final_capital") - capital).alias("total_return"),
-        ((F.col("final_capital") - capital) / capital * 100).alias("total_return_pct"), "max_drawdown", "sharpe_ratio", F.coalesce(F.try_divide(F.col("fifo.wins"), F.col("fifo.pairs")) * 100, F.lit(0.0)).alias("win_rate"), "total_trades",
+        ((F.col("final_capital") - capital) / capital * 100).alias("total_return_pct"), "max_drawdown", "sharpe_ratio", F.coalesce(F.try_divide(F.col("wins"), F.col("pairs")) * 100, F.lit(0.0)).alias("win_rate"), "total_trades",
         "profit_factor", "average_win", "average_loss", "largest_win", "largest_loss", "num_winning_trades", "num_losing_trades", "n_bars", "error")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from barwright.operators import limits
 from barwright.sources.bars import VALUES
 
 if TYPE_CHECKING:
@@ -60,12 +61,7 @@ class MaCrossover(Strategy):
     name: str = field(default="Simple MA Strategy", init=False)
 
     def __post_init__(self) -> None:
-        if self.short_window <= 0 or self.long_window <= 0:
-            raise ValueError("Window sizes must be positive")
-        if self.short_window >= self.long_window:
-            raise ValueError("Short window must be less than long window")
-        if not 0 < self.position_size <= 1:
-            raise ValueError("Position size must be between 0 and 1")
+        limits.check(vars(self), limits.CROSSOVER)
 
     def signals(self, bars: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
         order = in_order(bars, keys)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barwright.operators import limits
 from barwright.sources.bars import PRICES, VALUES
 
 
@@ -25,7 +26,7 @@ def validate_bars(bars: DataFrame, strategy: object = True) -> None:
     """Raise ValueError with the first complaint, in the engine's order of precedence."""
     if not strategy:
         raise ValueError("Strategy cannot be None")
-    missing = [c for c in VALUES if c not in bars.columns]
+    missing = accepts_columns(bars.columns)
     if missing:
         raise ValueError(f"Missing required columns: {missing}")
     for c in VALUES:
@@ -64,25 +65,34 @@ def between(bars: DataFrame, start: object, end: object) -> DataFrame:
     return bars.where((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end)))
 
 
+#: Fixed value: rows that walk-forward and Monte Carlo need.
+LEAST_ROWS = 100
+
+
 def validate_walk_forward(window_months: int, step_months: int, n_rows: int | None = None) -> None:
-    if window_months <= 0:
-        raise ValueError("test_window_months must be positive")
-    if step_months <= 0:
-        raise ValueError("step_months must be positive")
-    if n_rows is not None and n_rows < max(100, 2, window_months * 30 // 7):
+    limits.check({"test_window_months": window_months, "step_months": step_months}, limits.WALK_FORWARD)
+    if n_rows is not None and n_rows < max(LEAST_ROWS, window_months * 30 // 7):
         raise ValueError(f"Insufficient data: {n_rows} rows")
 
 
 def validate_monte_carlo(simulations: int, sample_share: float, block_rows: int, n_rows: int | None = None) -> int:
-    """The block size to use: at most a quarter of the rows."""
-    if simulations <= 0:
-        raise ValueError("n_simulations must be positive")
-    if not 0 < sample_share <= 1:
-        raise ValueError("bootstrap_sample_pct must be between 0 and 1")
-    if block_rows <= 0:
-        raise ValueError("block_size_days must be positive")
+    """The block size to use: a quarter of the rows where a block would hold them all."""
+    limits.check({"n_simulations": simulations, "bootstrap_sample_pct": sample_share, "block_size_days": block_rows}, limits.MONTE_CARLO)
     if n_rows is None:
         return block_rows
-    if n_rows < 100:
+    if n_rows < LEAST_ROWS:
         raise ValueError(f"Insufficient data: {n_rows} rows")
-    return min(block_rows, max(1, n_rows // 4))
+    return block_rows if block_rows < n_rows else max(1, n_rows // 4)
+
+
+def enough_rows(bars: DataFrame, window_months: int = 6, block_rows: int = 30) -> DataFrame:
+    """(symbol, n_rows, walk_forward, monte_carlo, block_rows): whether each symbol has enough bars for either, and the block to use."""
+    n = F.col("n_rows")
+    block = F.when(n > block_rows, F.lit(block_rows).cast("long")).otherwise(F.greatest(F.expr("n_rows DIV 4"), F.lit(1)))
+    counted = bars.groupBy("symbol").agg(F.count("*").alias("n_rows"))
+    return counted.select("symbol", "n_rows", (n >= max(LEAST_ROWS, window_months * 30 // 7)).alias("walk_forward"), (n >= LEAST_ROWS).alias("monte_carlo"), block.alias("block_rows"))
+
+
+def accepts_columns(columns: list[str], needed: tuple[str, ...] = VALUES) -> list[str]:
+    """Needed columns that are missing, in order."""
+    return [c for c in needed if c not in set(columns)]

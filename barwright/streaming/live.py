@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barwright.operators.fold import Engine, _Run
 
-TRADES = "symbol string, ts timestamp, side string, price double, quantity double, value double, cash double, position double"
+TRADES = "symbol string, ts timestamp, side string, price double, quantity double, value double, cash double, position double, late_rows long"
 STATE = "cash double, position double, last timestamp"
 
 
@@ -33,8 +33,9 @@ def stream_bars(rows: DataFrame, width: str = "1 day", late: str = "1 hour") ->
 def stream_fold(signals: DataFrame, engine: Engine = Engine()) -> DataFrame:  # noqa: B008
     """Trades of a stream of (symbol, ts, close, signal, position_size), cash and position held as state.
 
-    Rows of a batch go in order of time; rows older than the last one folded are dropped,
-    since the fold can't be run backwards.
+    Rows of a batch go in order of time. Rows no newer than the last one folded can't be
+    folded any more; a batch that has some gives one more row, without a side, with their
+    number in ``late_rows``. A null signal is none, a null size is 1.
     """
 
     def fold(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -43,16 +44,19 @@ def stream_fold(signals: DataFrame, engine: Engine = Engine()) -> DataFrame:  #
         if state.exists:
             run.cash, run.position, last = state.get
         rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        if last is not None:
-            rows = rows[rows["ts"] > pd.Timestamp(last)]
         out = []
+        if last is not None:
+            late = rows["ts"] <= pd.Timestamp(last)
+            if late.any():
+                out.append((key[0], pd.Timestamp(last), None, None, None, None, run.cash, run.position, int(late.sum())))
+            rows = rows[~late]
         for r in rows.itertuples(index=False):
-            made = run.step(r.ts, r.close, int(r.signal), float(r.position_size))
+            made = run.step(r.ts, r.close, 0 if pd.isna(r.signal) else int(r.signal), 1.0 if pd.isna(r.position_size) else float(r.position_size))
             if made:
-                out.append((key[0], r.ts, made[0], r.close, made[1], made[2], run.cash, run.position))
+                out.append((key[0], r.ts, made[0], r.close, made[1], made[2], run.cash, run.position, 0))
         if len(rows):
             last = rows["ts"].iloc[-1].to_pydatetime()
         state.update((run.cash, run.position, last))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "side", "price", "quantity", "value", "cash", "position"])
+        yield pd.DataFrame(out, columns=["symbol", "ts", "side", "price", "quantity", "value", "cash", "position", "late_rows"])
 
     return signals.groupBy("symbol").applyInPandasWithState(fold, TRADES, STATE, "append", GroupStateTimeout.NoTimeout)

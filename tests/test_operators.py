@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 import sys
+import time
 import warnings
 
 import numpy as np
@@ -15,9 +16,10 @@ from barwright.functions import metrics as M
 from barwright.functions import stats as S
 from barwright.operators import robustness as R
 from barwright.operators.cleaning import Cleaner, FillNulls, GapReport, InfiniteToNull, OhlcRules, QualityRules, Step, default_cleaner
-from barwright.operators.fold import Engine, run_backtest, simulate, trades, trades_sql
-from barwright.operators.risk import FixedRisk, KellyRisk, RiskManager
-from barwright.operators.search import MA_SPACE, METRICS, GridSearch, ParameterSpace, RandomSearch, SearchResult, as_objects, best_by_metric, create_optimizer, decimal_range, evaluate, ranked
+from barwright.operators.fold import Engine, dealt, run_backtest, simulate, trades, trades_sql
+from barwright.operators import limits
+from barwright.operators.risk import FixedRisk, KellyRisk, Position, RiskManager, book_summary
+from barwright.operators.search import MA_SPACE, METRICS, GridSearch, ParameterSpace, RandomSearch, Parameter, SearchResult, as_objects, best_by_metric, combo_runs, combo_table, create_optimizer, evaluate, ranked
 from barwright.operators.signals import GivenSignals, MaCrossover
 from barwright.operators.validation import validate_bars, validate_monte_carlo, validate_position_sizes, validate_walk_forward
 
@@ -144,7 +146,7 @@ def test_validation_order(spark):
     for call in (lambda: validate_walk_forward(0, 3), lambda: validate_walk_forward(6, 0), lambda: validate_walk_forward(6, 3, 99), lambda: validate_monte_carlo(0, 0.8, 30), lambda: validate_monte_carlo(1, 1.5, 30), lambda: validate_monte_carlo(1, 0.8, 0), lambda: validate_monte_carlo(1, 0.8, 30, 50)):
         with pytest.raises(ValueError):
             call()
-    assert validate_monte_carlo(10, 0.8, 60, 100) == 25
+    assert validate_monte_carlo(10, 0.8, 60, 100) == 60 and validate_monte_carlo(10, 0.8, 100, 100) == 25  # shortened only where it would hold all rows
 
 
 # signals and fold
@@ -211,10 +213,10 @@ class Allow(RiskManager):
         self.size, self.stop = size, stop
         super().__init__({"max_risk_per_trade": 1.0})
 
-    def position_size(self, signal, price, value, history=None, held=0.0):
+    def position_size(self, signal, price, value, held, choose=None):
         return self.size
 
-    def stop_price(self, entry, signal, history=None):
+    def stop_price(self, entry, signal, choose=None):
         return self.stop
 
     def closes(self, price, entry, stop, signal, pnl=0.0):
@@ -298,6 +300,63 @@ def fifo(events):
     return pairs, wins
 
 
+def test_fold_orders_stored_signals(spark, tmp_path):
+    """Signals that were shuffled and written give the same trades, whatever partitions they come back in."""
+    rows = ramp(400, signal={i: (1, -1, 0)[i % 3] for i in range(400)}, size=dict.fromkeys(range(400), 0.3))
+    both = given(spark, rows).unionByName(given(spark, rows).withColumn("symbol", F.lit("Y")))
+    signals = GivenSignals().signals(both)
+    signals.repartition(5, F.xxhash64("ts")).write.parquet(str(tmp_path / "signals"))
+    stored = spark.read.parquet(str(tmp_path / "signals"))
+    cells = ("symbol", "row_idx", "side", "quantity", "cash")
+    want = [tuple(t[c] for c in cells) for t in trades(simulate(signals)).orderBy("symbol", "row_idx").collect()]
+    assert want and [tuple(t[c] for c in cells) for t in trades(simulate(stored)).orderBy("symbol", "row_idx").collect()] == want
+    assert {t[0] for t in want} == {"X", "Y"}
+
+
+def test_runs_of_one_symbol_are_dealt_to_many_tasks(spark):
+    bars = saw(spark, 400)
+    combos = [{"short_window": s, "long_window": l, "position_size": p} for s in (3, 4, 5) for l in (8, 10, 15) for p in (0.5, 0.9)]
+    tasks = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks(combo_runs(bars, combo_table(spark, combos))) > 1
+    periods = R.walk_forward_periods(bars, 2, 1)
+    keys = ("symbol", "period")
+    assert tasks(simulate(MaCrossover(3, 12, 0.5).signals(R.walk_forward_bars(bars, periods), keys), keys)) > 1
+    assert tasks(dealt(bars.withColumn("n", F.col("seq") % 20), ("symbol", "n"))) > 1
+
+
+def test_long_runs_take_linear_time(spark):
+    """Twenty thousand buys, then as many sells: lots, trades and the JVM fold within seconds each."""
+    n = 20_000
+    events = spark.range(2 * n).select(F.lit("X").alias("symbol"), F.col("id").cast("int").alias("row_idx"), F.when(F.col("id") < n, "buy").otherwise("sell").alias("side"), (100.0 + F.col("id") % 7).alias("price"), F.lit(1.0).alias("quantity"))
+    r = M.win_rate(events).first()
+    assert (r.pairs, r.wins) == (n, sum((100 + (n + i) % 7) > (100 + i % 7) for i in range(n)))
+    signals = spark.range(2 * n).select(F.lit("X").alias("symbol"), F.col("id").cast("int").alias("row_idx"), F.timestamp_seconds("id").alias("ts"), (100.0 + F.col("id") % 7).alias("close"), F.when(F.col("id") % 2 == 0, 1).otherwise(-1).alias("signal"), F.lit(0.01).alias("position_size"))
+    began = time.perf_counter()
+    assert trades_sql(signals).agg(F.count("*"), F.sum("value")).first() == trades(simulate(signals)).agg(F.count("*"), F.sum("value")).first()
+    assert time.perf_counter() - began < 60
+
+
+def test_lots_of_the_fold_equal_those_of_its_trades(spark):
+    rows = ramp(300, signal={i: (1, 1, 0, -1)[i % 4] for i in range(300)}, size=dict.fromkeys(range(300), 0.4), close={i: 50.0 + (i * 37) % 91 for i in range(300)})
+    done = trades(simulate(GivenSignals().signals(given(spark, rows))))
+    counted, matched = M.win_rate(done).first(), M.win_rate(done.drop("lots_matched", "lots_won")).first()
+    assert counted == matched and counted.pairs > 50
+
+
+def test_settings_tables(spark):
+    table = spark.createDataFrame([(1.0, 0.0, 1.0), (0.0, -1.0, 1.0), (1.0, 0.0, -1.0), (None, 0.0, 0.0)], "initial_capital double, commission double, min_order_value double")
+    got = [r.complaint for r in limits.first_complaint(table, limits.ENGINE).collect()]
+    assert got == [None, "Initial capital must be positive", "Minimum order value cannot be negative", None]
+    held = spark.createDataFrame([("A", 0.1), ("B", -0.2), ("C", 0.0)], "symbol string, size double")
+    assert book_summary(held).first().asDict() == {"total_positions": 2, "total_exposure": pytest.approx(0.3), "long_positions": 1, "short_positions": 1, "average_position_size": pytest.approx(0.15)}
+    decided = spark.createDataFrame([(1, 100.0, 0.0), (-1, 100.0, 0.05), (-1, 100.0, 0.2), (0, 100.0, 0.0)], "signal int, price double, held double")
+    f = FixedRisk(0.1, 0.05)
+    rows = decided.withColumns(f.decision_columns(F.col("signal"), F.col("price"), F.col("held"), F.lit(0.0), F.lit(0))).collect()
+    for r in rows:
+        d = f.evaluate(r.signal, r.price, 1.0, r.held)
+        assert (r.decided_size, r.stop_price, r.max_risk, r.allowed) == (d.size, d.stop, d.max_risk, d.allowed)
+
+
 def test_win_rate_by_lots(spark):
     def rate(*events):
         df = spark.createDataFrame([("X", i, s, float(p), float(q)) for i, (s, q, p) in enumerate(events)], "symbol string, row_idx int, side string, price double, quantity double")
@@ -335,19 +394,19 @@ def test_fixed_risk_values():
     f = FixedRisk(0.1, 0.05)
     d = f.evaluate(1, 100.0, 10000.0)
     assert d.allowed and d.size == 0.1 and d.stop == 95.0 and d.max_risk == pytest.approx(0.005)
-    d = f.evaluate(-1, 100.0, 10000.0, None, 0.05)
+    d = f.evaluate(-1, 100.0, 10000.0, 0.05)
     assert d.stop == 105.0 and d.max_risk == pytest.approx(0.0025) and d.size == 0.05
-    assert not f.evaluate(0, 100.0, 1.0).allowed and not f.evaluate(-1, 100.0, 1.0, None, 0.2).allowed
+    assert not f.evaluate(0, 100.0, 1.0).allowed and not f.evaluate(-1, 100.0, 1.0, 0.2).allowed
     assert f.closes(95.0, 100.0, 95.0, 1)[0] and not f.closes(96.0, 100.0, 95.0, 1)[0] and f.closes(105.0, 100.0, 105.0, -1)[0]
     assert f.closes(1.0, 2.0, None, 1) == (False, "No stop loss set")
     for s, v in (("A", 0.1), ("B", -0.2), ("C", 0.05)):
-        f.update(s, v, 100.0)
-    assert f.exposure() == pytest.approx(0.35) and f.summary()["long_positions"] == 2 and f.get("B").size == -0.2
-    f.update("A", 0.0, 100.0)
-    f.clear("B")
+        f.book.put(s, Position(v, 100.0))
+    assert f.book.exposure() == pytest.approx(0.35) and f.book.summary()["long_positions"] == 2 and f.book.get("B").size == -0.2
+    f.book.put("A", Position(0.0, 100.0))
+    f.book.pop("B")
     assert list(f.book) == ["C"] and f.metrics()["current_positions"] == 1 and f.fresh().book == {}
     for i in range(5):
-        f.update(str(i), 0.01, 1.0)
+        f.book.put(str(i), Position(0.01, 1.0))
     assert not f.evaluate(1, 100.0, 1.0).allowed  # too many positions
 
 
@@ -362,7 +421,7 @@ def test_risk_settings():
         FixedRisk(0.06, 0.3, 40, 0.05)
     assert len(caught) == 2
     k = KellyRisk()
-    for call in (k.position_size, k.stop_price, k.closes):
+    for call in (lambda: k.position_size(1, 1.0, 1.0, 0.0), lambda: k.stop_price(1.0, 1), lambda: k.closes(1.0, 1.0, None, 1)):
         with pytest.raises(NotImplementedError):
             call()
     assert k.metrics()["max_kelly_fraction"] == 0.25
@@ -373,23 +432,24 @@ def test_risk_settings():
 # search
 
 
-def test_parameter_space():
+def test_parameter_space(spark):
     assert MA_SPACE.size() == 1632 and MA_SPACE.suggested_samples() == 163
-    assert decimal_range(0.1, 0.5, 0.1) == [0.1, 0.2, 0.3, 0.4, 0.5]
+    assert Parameter("float", 0.1, 0.5, 0.1).values() == [0.1, 0.2, 0.3, 0.4, 0.5] and Parameter("int", 1, 6, 2).values() == [1, 3, 5]
     space = ParameterSpace({"a": {"type": "int", "min": 1, "max": 6, "step": 2}, "b": {"type": "choice", "choices": ["x", "y"]}})
-    assert list(space.grid())[:3] == [{"a": 1, "b": "x"}, {"a": 1, "b": "y"}, {"a": 3, "b": "x"}]
+    assert [(r.a, r.b) for r in space.grid(spark).orderBy("combo_id").limit(3).collect()] == [(1, "x"), (1, "y"), (3, "x")]
     free = ParameterSpace({"a": {"type": "float", "min": 0.0, "max": 1.0}})
     assert free.size() == math.inf and free.suggested_samples() == 10_000
     with pytest.raises(ValueError):
-        list(free.grid())
+        free.grid(spark)
+    assert all(0 <= r.a < 1 for r in free.random(spark, 20, seed=1).collect())
     for bad in ({"a": {}}, {"a": {"type": "int", "min": 1}}, {"a": {"type": "int", "min": 2, "max": 1}}, {"a": {"type": "choice"}}, {"a": {"type": "choice", "choices": []}}, {"a": {"type": "x"}}):
         with pytest.raises(ValueError):
             ParameterSpace(bad)
-    drawn = MA_SPACE.random(50, seed=1)
-    assert drawn == MA_SPACE.random(50, seed=1) and len({tuple(c.items()) for c in drawn}) == 50
-    assert len(ParameterSpace({"b": {"type": "choice", "choices": [1, 2]}}).random(30, seed=1)) == 2  # stops on repeats
-    stepped = ParameterSpace({"a": {"type": "float", "min": 0.25, "max": 1.0, "step": 0.2}}).random(5, seed=0)
-    assert {c["a"] for c in stepped} <= {0.2, 0.4, 0.6, 0.8, 1.0}  # multiples of the step, even below the minimum
+    drawn = MA_SPACE.random(spark, 50, seed=1).orderBy("combo_id").collect()
+    assert drawn == MA_SPACE.random(spark, 50, seed=1).orderBy("combo_id").collect() and len({tuple(r)[1:] for r in drawn}) == 50 and [r.combo_id for r in drawn] == list(range(50))
+    assert ParameterSpace({"b": {"type": "choice", "choices": [1, 2]}}).random(spark, 30, seed=1).count() == 2  # stops on repeats
+    stepped = ParameterSpace({"a": {"type": "float", "min": 0.25, "max": 1.0, "step": 0.2}}).random(spark, 5, seed=0).collect()
+    assert {r.a for r in stepped} <= {0.2, 0.4, 0.6, 0.8, 1.0}  # multiples of the step, even below the minimum
 
 
 def saw(spark, n=100):
@@ -418,6 +478,13 @@ def test_search(spark):
     assert set(best) == set(METRICS) and best["total_trades"].value == max(r.total_trades for r in found.collect())
     space = ParameterSpace({"short_window": {"type": "int", "min": 3, "max": 4}, "long_window": {"type": "int", "min": 10, "max": 11}})
     assert GridSearch(bars, space).optimize().count() == 4
+    search = GridSearch(bars, space)
+    assert len(search.best(3)) == 3 and search.stop() is None and search.tag not in spark.getTags()
+    for limit in (100_000, 3):  # by broadcast, and by slots
+        mp = pytest.MonkeyPatch()
+        mp.setattr("barwright.operators.search.BROADCAST_COMBOS", limit)
+        assert sorted((r.combo_id, r.final_capital) for r in evaluate(bars, combos).collect()) == sorted((r.combo_id, r.final_capital) for r in found.collect())
+        mp.undo()
     assert create_optimizer("random", bars, space, n_trials=2, seed=3).optimize(1).count() == 1
     assert isinstance(create_optimizer("random", bars, space), RandomSearch)
     for bad in (lambda: create_optimizer("x", bars, space), lambda: GridSearch(bars, space, sort_by="x"), lambda: GridSearch(bars.drop("low"), space)):
@@ -459,6 +526,10 @@ def test_monte_carlo(spark):
     assert R.monte_carlo(bars, MaCrossover(3, 12, 0.5), plan=seeded).count() == 2
     assert R.plain_samples(bars, 2).groupBy("sim").count().first()["count"] == 160
     assert R.monte_carlo(saw(spark, 55), MaCrossover(3, 12, 0.5), simulations=2).count() == 0  # under fifty bars
+    short = saw(spark, 120).withColumn("symbol", F.lit("Y")).unionByName(saw(spark, 300))
+    whole = R.drawn_bars(short, 2, block_rows=150, whole_blocks=True)  # Y is shorter than a block: single rows
+    assert {(r.symbol, r.n) for r in whole.groupBy("symbol", "sim").agg(F.count("*").alias("n")).collect()} == {("X", 150), ("Y", 96)}
+    assert R.monte_carlo(short, MaCrossover(3, 12, 0.5), simulations=2, block_rows=150, whole_blocks=True).count() == 4
 
 
 def results(spark, values):
