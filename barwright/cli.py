@@ -6,6 +6,7 @@ import argparse
 import datetime as dt
 import logging
 import sys
+from importlib import import_module
 from typing import Any
 
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from barwright.operators.signals import STRATEGIES
 from barwright.operators.validation import validate_monte_carlo, validate_walk_forward
 from barwright.session import session
 from barwright.sources import files
-from barwright.sources.remote import EXCHANGE_FRAMES, QUOTE_FRAMES
+from barwright.sources.remote import EXCHANGE_FRAMES, QUOTE_FRAMES, ExchangeSource, QuoteSource
 from barwright.sources.sinks import Run, SinkManager, results_json
 
 RISKS = {"fixed": FixedRisk, "kelly": KellyRisk}
@@ -91,6 +92,8 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--start", required=True)
     d.add_argument("--end", required=True)
     d.add_argument("--output")
+    d.add_argument("--client", help="module:function that fetches")
+    d.add_argument("--exchange", default="exchange")
     return top
 
 
@@ -120,7 +123,7 @@ def backtest(args: argparse.Namespace) -> None:
     simulated = run_backtest(bars, strategy, engine)
     manager = SinkManager()
     for name in args.exporters.split(","):
-        manager.add_named([name], **({"output_dir": args.output} if name.strip() == "csv" else {}))
+        manager.add_named([name], **{"csv": {"output_dir": args.output}, "elasticsearch": {"path": f"{args.output}/index"}}.get(name.strip().lower(), {}))
     manager.export(Run(M.summarize(simulated, engine=engine, strategy=strategy.name), trades(simulated), M.equity_curve(simulated)), commission=args.commission, strategy_params=strategy.description())
 
 
@@ -164,10 +167,24 @@ def clean(args: argparse.Namespace) -> None:
 
 
 def download(args: argparse.Namespace) -> None:
-    dates(args.start, args.end)
+    """Fetch through the client that ``--client module:name`` names, and write a CSV named after what it holds."""
+    first, last = dates(args.start, args.end)
     if args.timeframe not in (EXCHANGE_FRAMES if args.source == "exchange" else QUOTE_FRAMES):
         raise ValueError(f"unknown time frame {args.timeframe}")
-    raise SystemExit("no network client is configured; pass one to barwright.sources.remote")
+    if not args.client:
+        raise ValueError("downloads need a client: --client module:function")
+    module, _, name = args.client.partition(":")
+    fetch, spark = getattr(import_module(module), name), session()
+    if args.source == "exchange":
+        stamp = lambda d: int(dt.datetime.combine(d, dt.time(), dt.timezone.utc).timestamp() * 1000)
+        bars = ExchangeSource({args.exchange: fetch}).download(spark, args.exchange, args.symbol, args.timeframe, stamp(first), stamp(last))
+        label = args.exchange
+    else:
+        bars, label = QuoteSource(fetch).download(spark, args.symbol, args.start, args.end, args.timeframe), "quotes"
+        bars = bars.select(F.lit(args.symbol).alias("symbol"), F.col("Date").cast("timestamp").alias("ts"), *[F.col(c.capitalize()).cast("double").alias(c) for c in files.VALUES]) if bars is not None else None
+    if bars is None:
+        raise ValueError(f"nothing downloaded for {args.symbol}")
+    print(files.write_download(bars, args.output or ".", args.symbol, label, args.timeframe, args.start, args.end))
 
 
 def main(argv: list[str] | None = None) -> int:

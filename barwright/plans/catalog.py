@@ -7,6 +7,7 @@ infinite profit factor comes out as null.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,15 +15,18 @@ from pyspark.sql import types as T
 
 from barwright.functions import metrics as M
 from barwright.functions import stats as S
+from barwright.operators import limits
 from barwright.operators import robustness as R
+from barwright.operators import validation as V
 from barwright.operators.cleaning import FillNulls, GapReport, InfiniteToNull, OhlcRules, QualityRules, default_cleaner
 from barwright.operators.fold import Engine, simulate, trades, trades_sql
-from barwright.operators.risk import FixedRisk
+from barwright.operators.risk import FixedRisk, book_summary
 from barwright.operators.search import MA_SPACE, ParameterSpace, best_by_metric, evaluate, ranked
 from barwright.operators.signals import MaCrossover
 from barwright.operators.validation import between, violations
 from barwright.plans import sql as Q
-from barwright.sources import sinks
+from barwright.session import cut, discard, scratch
+from barwright.sources import files, sinks
 from barwright.sources.bars import VALUES, dirty_bars, events_bars, orders_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,6 +168,7 @@ _CURVE = [*_TRADED, Q.curve("symbol")]
 _RESULTS = [*_CURVE, Q.pairs("symbol"), Q.fifo("symbol"), Q.results("symbol")]
 _FIGURES = ("final_capital", "total_return", "total_return_pct", "max_drawdown", "sharpe_ratio", "win_rate", "profit_factor", "average_win", "average_loss", "largest_win", "largest_loss")
 _RESULT_COLUMNS = f"{Q.when('start_date')} AS start_date, {Q.when('end_date')} AS end_date, {Q.r6(*_FIGURES)}, total_trades, num_winning_trades, num_losing_trades, n_bars"
+_EXTRA = ("reason", "lots_matched", "lots_won")
 _TRADE_COLUMNS = f"row_idx, {Q.when('ts')} AS ts, side, {Q.r6('price', 'quantity', 'value', 'cash', 'position')}"
 
 
@@ -178,7 +183,7 @@ def ma_signals(spark, sf_dir):
 
 @register(Q.chain(*_TRADED) + f"SELECT symbol, {_TRADE_COLUMNS} FROM trades")
 def backtest_trades(spark, sf_dir):
-    return trades(_simulated(spark, sf_dir)).drop("reason")
+    return trades(_simulated(spark, sf_dir)).drop(*_EXTRA)
 
 
 @register(Q.chain(*_TRADED) + f"SELECT symbol, {_TRADE_COLUMNS} FROM trades")
@@ -186,10 +191,17 @@ def backtest_trades_sql_fold(spark, sf_dir):
     return trades_sql(_signals(spark, sf_dir), engine=ENGINE)
 
 
+@register(Q.chain(*_TRADED) + f"SELECT symbol, {_TRADE_COLUMNS} FROM trades")
+def backtest_trades_stored_signals(spark, sf_dir):
+    """Signals that were written and shuffled before: the fold orders them itself."""
+    stored = cut(_signals(spark, sf_dir).repartition(7, F.xxhash64("ts")))
+    return trades(simulate(stored, engine=ENGINE)).drop(*_EXTRA)
+
+
 @register(Q.chain(Q.ORDERS_BARS, Q.signals("symbol", "10", "30", "1.0"), Q.fold("symbol", capital="1000.0")) + f"SELECT symbol, {_TRADE_COLUMNS} FROM trades")
 def backtest_rounding_trap(spark, sf_dir):
     """A full-cash buy from 1000 fails by a last bit, and nothing is ever traded."""
-    return trades(simulate(_signals(spark, sf_dir, MaCrossover(10, 30, 1.0)), engine=Engine(1000.0))).drop("reason")
+    return trades(simulate(_signals(spark, sf_dir, MaCrossover(10, 30, 1.0)), engine=Engine(1000.0))).drop(*_EXTRA)
 
 
 @register(Q.chain(*_CURVE) + f"SELECT symbol, row_idx, {Q.when('ts')} AS ts, {Q.r6('close', 'cash', 'position', 'portfolio_value')} FROM curve")
@@ -205,7 +217,7 @@ def backtest_summary(spark, sf_dir):
 @register(Q.chain(Q.ORDERS_BARS, Q.signals("symbol", "10", "30", "1.0"), Q.fold_fixed_risk(*map(str, RISK))) + f"SELECT symbol, {_TRADE_COLUMNS}, stopped FROM trades")
 def backtest_fixed_risk(spark, sf_dir):
     done = trades(_simulated(spark, sf_dir, MaCrossover(10, 30, 1.0, risk=FixedRisk(*RISK))))
-    return done.withColumn("stopped", F.col("reason").isNotNull()).drop("reason")
+    return done.withColumn("stopped", F.col("reason").isNotNull()).drop(*_EXTRA)
 
 
 @register(Q.chain(*_SIG) + f"SELECT symbol, {Q.when('ts')} AS ts, round(want, 6) AS decided_size, round(stop, 6) AS stop_price, round(risk, 6) AS max_risk, ok AS allowed FROM (SELECT symbol, ts, CASE WHEN ok THEN want ELSE 0 END AS want, CASE WHEN ok THEN stop END AS stop, risk, ok FROM (SELECT *, want <= 0.1 AND risk <= 0.02 AND want <= 0.5 AS ok FROM (SELECT *, abs(close - stop) / close * want AS risk FROM (SELECT symbol, ts, close, CASE signal WHEN 1 THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END AS want, CASE signal WHEN 1 THEN close * 0.95::DOUBLE ELSE close * 1.05::DOUBLE END AS stop FROM sig WHERE signal <> 0))))")
@@ -265,7 +277,7 @@ def win_rate_fifo(spark, sf_dir):
 
 # search
 
-_COMBOS = ", ".join(f"({n}, {c['short_window']}, {c['long_window']}, {c['position_size']})" for n, c in enumerate(GRID.grid()))
+_COMBOS = ", ".join(f"({n}, {s}, {l}, {p})" for n, (s, l, p) in enumerate(product(*(p.values() for p in GRID.parameters.values()))))
 _GRID_MEANS = ", ".join(f"CASE WHEN count(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) >= {n} THEN avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END AS m{n}" for n in (5, 6, 7, 15, 20, 25))
 _PICK = lambda c, table: "CASE " + c + " " + " ".join(f"WHEN {n} THEN {table}m{n}" for n in (5, 6, 7, 15, 20, 25)) + " END"
 _GRID_SIG = [
@@ -280,7 +292,7 @@ _GRID_RESULTS = [*_GRID_SIG, Q.fold(_GRID_KEYS), Q.curve(_GRID_KEYS), Q.pairs(_G
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate(orders_bars(spark, sf_dir), list(GRID.grid()), ENGINE)
+    return evaluate(orders_bars(spark, sf_dir), GRID.grid(spark), ENGINE)
 
 
 @register(Q.chain(*_GRID_RESULTS) + f"SELECT combo_id::BIGINT AS combo_id, symbol, {_RESULT_COLUMNS} FROM results")
@@ -303,20 +315,51 @@ def grid_sensitivity(spark, sf_dir):
     return _grid(spark, sf_dir).groupBy("short_window").agg(F.count("*").alias("n"), F.avg("total_return_pct").alias("avg_return_pct"), F.stddev_samp("total_return_pct").alias("std_return_pct"))
 
 
-@register("SELECT 'simple_ma' AS space, 16::BIGINT * 17 * 6 AS combinations, 163::BIGINT AS suggested")
+@register("SELECT 'simple_ma' AS space, count(*) AS combinations, least(10000, greatest(10, floor(0.1 * count(*))))::BIGINT AS suggested FROM range(5, 21) a CROSS JOIN range(20, 101, 5) b CROSS JOIN range(5, 11) c")
 def parameter_space_size(spark, sf_dir):
-    return spark.createDataFrame([("simple_ma", int(MA_SPACE.size()), MA_SPACE.suggested_samples())], "space string, combinations long, suggested long")
+    """The combinations that the space makes, counted, and the sample that it suggests."""
+    return MA_SPACE.grid(spark).agg(F.lit("simple_ma").alias("space"), F.count("*").alias("combinations"), F.lit(MA_SPACE.suggested_samples()).alias("suggested"))
+
+
+@register("SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS combo_id, a AS short_window, b AS long_window, round(c / 10::DOUBLE, 6) AS position_size FROM range(5, 21) s(a) CROSS JOIN range(20, 101, 5) l(b) CROSS JOIN range(5, 11) p(c)")
+def grid_combinations(spark, sf_dir):
+    return MA_SPACE.grid(spark)
+
 
+def _drawn(n: int, seed: int) -> list[str]:
+    """``combos``: the random combinations of the built-in space, drawn by the same hashes."""
+    unit = lambda name: f"('0x' || substr(md5('{seed}|' || id || '|{name}'), 1, 13))::BIGINT / 4503599627370496::DOUBLE"
+    at = lambda name, k: f"floor({unit(name)} * {k})::INT"
+    return [
+        f"draws AS (SELECT id, 5 + {at('short_window', 16)} AS short_window, 20 + {at('long_window', 81)} AS long_window, (5 + {at('position_size', 6)}) / 10::DOUBLE AS position_size FROM range({10 * n}) t(id))",
+        "fresh AS (SELECT *, row_number() OVER (PARTITION BY short_window, long_window, position_size ORDER BY id) = 1 AS is_new FROM draws)",
+        "counted AS (SELECT *, sum(is_new::INT) OVER (ORDER BY id) AS found FROM fresh)",
+        "ended AS (SELECT *, coalesce(bool_or(id + 1 > 100 AND id + 1 - found > 0.8 * (id + 1)) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM counted)",
+        f"combos AS MATERIALIZED (SELECT (found - 1)::BIGINT AS combo_id, short_window::BIGINT AS short_window, long_window::BIGINT AS long_window, position_size FROM ended WHERE is_new AND found <= {n} AND NOT done)",
+    ]
 
-@register()
+
+@register(Q.chain(*_drawn(100, 42)) + "SELECT combo_id, short_window, long_window, round(position_size, 6) AS position_size FROM combos")
 def random_combinations(spark, sf_dir):
-    rows = [(n, c["short_window"], c["long_window"], c["position_size"]) for n, c in enumerate(MA_SPACE.random(100, seed=42))]
-    return spark.createDataFrame(rows, "combo_id int, short_window int, long_window int, position_size double")
+    return MA_SPACE.random(spark, 100, seed=42)
+
+
+_RANDOM_SIG = [
+    Q.ORDERS_BARS,
+    *_drawn(MA_SPACE.suggested_samples(), 42),
+    "lines AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS row_idx FROM bars)",
+    "lengths AS (SELECT DISTINCT unnest([short_window, long_window]) AS n FROM combos)",
+    "averages AS MATERIALIZED (SELECT a.symbol, a.row_idx, n, avg(b.close) AS mean FROM lines a CROSS JOIN lengths JOIN lines b ON b.symbol = a.symbol AND b.row_idx BETWEEN a.row_idx - n + 1 AND a.row_idx WHERE a.row_idx >= n - 1 GROUP BY 1, 2, 3)",
+    "means AS (SELECT c.combo_id, c.short_window, c.long_window, c.position_size, l.symbol, l.ts, l.close, l.row_idx, s.mean AS ma_short, m.mean AS ma_long FROM lines l CROSS JOIN combos c LEFT JOIN averages s ON s.symbol = l.symbol AND s.row_idx = l.row_idx AND s.n = c.short_window LEFT JOIN averages m ON m.symbol = l.symbol AND m.row_idx = l.row_idx AND m.n = c.long_window WHERE c.short_window < c.long_window)",
+    _GRID_SIG[-1],
+]
+_RANDOM_RESULTS = [*_RANDOM_SIG, Q.fold(_GRID_KEYS), Q.curve(_GRID_KEYS), Q.pairs(_GRID_KEYS), Q.fifo(_GRID_KEYS), Q.results(_GRID_KEYS)]
 
 
-@register()
+@register(Q.chain(*_RANDOM_RESULTS) + f"SELECT combo_id, symbol, {_RESULT_COLUMNS} FROM results ORDER BY results.sharpe_ratio DESC NULLS LAST, combo_id, symbol LIMIT 10")
 def random_search_top_k(spark, sf_dir):
-    return _results(ranked(evaluate(orders_bars(spark, sf_dir), MA_SPACE.random(MA_SPACE.suggested_samples(), seed=42), ENGINE), "sharpe_ratio", 10), "combo_id", "symbol")
+    combos = MA_SPACE.random(spark, MA_SPACE.suggested_samples(), seed=42)
+    return _results(ranked(evaluate(orders_bars(spark, sf_dir), combos, ENGINE), "sharpe_ratio", 10), "combo_id", "symbol")
 
 
 # walk-forward
@@ -386,7 +429,7 @@ def wf_consistency(spark, sf_dir):
 # Monte Carlo
 
 _A, _B, _C = R.LCG
-_PLAN = f"""nums AS (SELECT symbol, count(*) AS n, least(30, greatest(count(*) // 4, 1)) AS block_rows, floor(count(*) * 0.8::DOUBLE)::BIGINT AS n_samples FROM bars GROUP BY symbol),
+_PLAN = f"""nums AS (SELECT symbol, count(*) AS n, CASE WHEN count(*) > 30 THEN 30 ELSE greatest(count(*) // 4, 1) END AS block_rows, floor(count(*) * 0.8::DOUBLE)::BIGINT AS n_samples FROM bars GROUP BY symbol),
 plan AS (SELECT symbol, sim, block_no, ((sim * {_A} + block_no * {_C} + 42 * {_B}) % 2147483648) % (n - block_rows + 1) AS start_idx, block_rows, n_samples
   FROM nums CROSS JOIN range({SIMULATIONS}) s(sim) CROSS JOIN range(2000) k(block_no) WHERE block_no < greatest(n_samples // block_rows, 1)),
 mc_bars AS MATERIALIZED (SELECT p.symbol, p.sim, p.block_no, k.block_row, b.ts, b.close FROM plan p JOIN range(30) k(block_row) ON k.block_row < p.block_rows AND p.block_no * p.block_rows + k.block_row < p.n_samples
@@ -463,12 +506,207 @@ def side_heatmap(spark, sf_dir):
     return S.side_heatmap(trades(_simulated(spark, sf_dir)))
 
 
-@register(Q.chain(*_TRADED) + "SELECT count(*) AS total_positions, round(sum(abs(size)), 6) AS total_exposure, count(*) FILTER (WHERE size > 0) AS long_positions, count(*) FILTER (WHERE NOT size > 0) AS short_positions, round(avg(abs(size)), 6) AS average_position_size FROM (SELECT symbol, arg_max(position, row_idx) AS size FROM trades GROUP BY symbol)")
+@register(Q.chain(*_TRADED) + "SELECT count(*) AS total_positions, round(coalesce(sum(abs(size)), 0), 6) AS total_exposure, count(*) FILTER (WHERE size > 0) AS long_positions, count(*) FILTER (WHERE size < 0) AS short_positions, round(coalesce(avg(abs(size)), 0), 6) AS average_position_size FROM (SELECT symbol, arg_max(position, row_idx) AS size FROM trades GROUP BY symbol) WHERE abs(size) >= 1e-10::DOUBLE")
 def exposure_summary(spark, sf_dir):
+    """The book's summary, of the positions left at the end."""
     last = trades(_simulated(spark, sf_dir)).groupBy("symbol").agg(F.max_by("position", "row_idx").alias("size"))
-    return last.agg(F.count("*").alias("total_positions"), F.sum(F.abs("size")).alias("total_exposure"), F.count_if(F.col("size") > 0).alias("long_positions"), F.count_if(~(F.col("size") > 0)).alias("short_positions"), F.avg(F.abs("size")).alias("average_position_size"))
+    return book_summary(last)
 
 
 @register(Q.chain(*_CURVE, _ROLL) + f"SELECT 'run-1' AS backtest_id, symbol, {Q.when('ts')} AS timestamp, round(portfolio_value, 6) AS portfolio_value, round(drawdown * 100, 6) AS drawdown_pct, round(CASE WHEN n >= 30 AND spread > 0 THEN mean * 252 / (spread * sqrt(252::DOUBLE)) END, 6) AS rolling_sharpe_30d, round(CASE WHEN n >= 30 THEN spread * sqrt(252::DOUBLE) * 100 END, 6) AS rolling_volatility_30d FROM roll")
 def export_portfolio(spark, sf_dir):
     return sinks.portfolio_frame(M.equity_curve(_simulated(spark, sf_dir)), "run-1").drop("created_at")
+
+
+_META = "backtest_id, strategy_name, symbol, start_date, end_date, initial_capital, final_capital, total_return, total_return_pct, max_drawdown, sharpe_ratio, win_rate, total_trades, profit_factor, average_win, average_loss, largest_win, largest_loss, num_winning_trades, num_losing_trades, commission"
+_META_SQL = f"SELECT 'run-1' AS backtest_id, 'Simple MA Strategy' AS strategy_name, symbol, 10000.0::DOUBLE AS initial_capital, 0.001::DOUBLE AS commission, {_RESULT_COLUMNS} FROM results"
+
+
+@register(Q.chain(*_RESULTS) + f"SELECT {_META} FROM ({_META_SQL})")
+def export_metadata(spark, sf_dir):
+    return sinks.metadata_frame(M.summarize(_simulated(spark, sf_dir), engine=ENGINE), "run-1").drop("created_at")
+
+
+_TRADES_SQL = f"SELECT 'run-1' AS backtest_id, {Q.when('ts')} AS timestamp, symbol, side, {Q.r6('price', 'quantity', 'value')} FROM trades"
+
+
+@register(Q.chain(*_TRADED) + _TRADES_SQL)
+def export_trades(spark, sf_dir):
+    return sinks.trades_frame(trades(_simulated(spark, sf_dir)), "run-1").drop("created_at")
+
+
+@register(Q.chain(*_TRADED, Q.pairs("symbol")) + f"SELECT 'run-1' AS backtest_id, 'run-1-pos-' || row_number() OVER (PARTITION BY symbol ORDER BY row_idx) AS position_id, symbol, {Q.when('b_ts')} AS entry_timestamp, {Q.when('ts')} AS exit_timestamp, round(b_price, 6) AS entry_price, round(price, 6) AS exit_price, round(b_quantity, 6) AS quantity, round(b_value, 6) AS entry_value, round(value, 6) AS exit_value, round(pnl, 6) AS pnl, round(pnl / b_value * 100, 6) AS pnl_pct, round((epoch_us(ts) - epoch_us(b_ts)) / 8.64e10, 6) AS duration_days, round((epoch_us(ts) - epoch_us(b_ts)) / 3.6e9, 6) AS duration_hours, pnl > 0 AS is_win FROM pairs")
+def export_positions(spark, sf_dir):
+    return sinks.positions_frame(trades(_simulated(spark, sf_dir)), "run-1").drop("created_at")
+
+
+@register(Q.chain(*_RESULTS) + f"SELECT t.backtest_id, t.timestamp, t.symbol, side, price, quantity, value, strategy_name, initial_capital, final_capital, total_trades FROM ({_TRADES_SQL}) t JOIN ({_META_SQL}) m ON m.backtest_id = t.backtest_id AND m.symbol = t.symbol")
+def trades_with_run(spark, sf_dir):
+    """Trades with what their run's metadata says."""
+    simulated = _simulated(spark, sf_dir)
+    runs = sinks.metadata_frame(M.summarize(simulated, engine=ENGINE), "run-1").select("backtest_id", "symbol", "strategy_name", "initial_capital", "final_capital", "total_trades")
+    return sinks.with_run(sinks.trades_frame(trades(simulated), "run-1").drop("created_at"), runs, ("backtest_id", "symbol"))
+
+
+@register(Q.chain(*_WF_RESULTS) + f"SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY start_date) AS period, {Q.when('start_date')} AS start_date, {Q.when('end_date')} AS end_date, {Q.r6('total_return', 'total_return_pct', 'sharpe_ratio', 'max_drawdown', 'win_rate', 'final_capital')}, total_trades, 10000.0::DOUBLE AS initial_capital FROM results")
+def wf_result_table(spark, sf_dir):
+    return S.result_table(R.walk_forward(orders_bars(spark, sf_dir), _WF_STRATEGY), "start_date")
+
+
+_VECTORS = {"total_returns": "total_return", "sharpe_ratios": "sharpe_ratio", "max_drawdowns": "max_drawdown", "win_rates": "win_rate"}
+
+
+@register(Q.chain(*_WF_RESULTS) + "SELECT symbol, " + ", ".join(f"array_to_string(list(round(coalesce({c}, 0) * 10000)::BIGINT ORDER BY period), ',') AS {n}" for n, c in _VECTORS.items()) + " FROM results GROUP BY symbol")
+def wf_result_vectors(spark, sf_dir):
+    """The vectors, in ten-thousandths, as text."""
+    vectors = S.result_vectors(R.walk_forward(orders_bars(spark, sf_dir), _WF_STRATEGY), "period")
+    return vectors.select("symbol", *[F.array_join(F.transform(n, lambda x: F.round(x * 10000).cast("long").cast("string")), ",").alias(n) for n in _VECTORS])
+
+
+@register(Q.chain(*_MC_RESULTS) + f"SELECT symbol, count(*) AS completed, round(count(*) / {SIMULATIONS} * 100, 6) AS success_rate FROM results GROUP BY symbol")
+def mc_success_rate(spark, sf_dir):
+    return S.success_rate(_monte_carlo(spark, sf_dir), SIMULATIONS, ("symbol",))
+
+
+@register(Q.chain(Q.ORDERS_BARS) + "SELECT symbol, count(*) AS n_rows, count(*) >= 100 AS walk_forward, count(*) >= 100 AS monte_carlo, CASE WHEN count(*) > 30 THEN 30 ELSE greatest(count(*) // 4, 1) END AS block_rows FROM bars GROUP BY symbol")
+def enough_rows(spark, sf_dir):
+    return V.enough_rows(orders_bars(spark, sf_dir))
+
+
+# files and sinks, written and read again
+
+
+def _again(spark: SparkSession, name: str, write: Callable[[str], object], read: Callable[[str], DataFrame]) -> DataFrame:
+    """What comes back from a folder that is gone afterwards."""
+    folder = scratch(spark, name)
+    try:
+        write(folder)
+        return cut(read(folder))
+    finally:
+        discard(spark, folder)
+
+
+_ONE = "1-URGENT"
+
+
+def _one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders_bars(spark, sf_dir).where(F.col("symbol") == _ONE)
+
+
+@register(Q.chain(Q.ORDERS_BARS) + f"SELECT {_BAR_COLUMNS}, row_number() OVER (ORDER BY ts) AS seq FROM bars WHERE symbol = '{_ONE}'")
+def csv_scan_backtest(spark, sf_dir):
+    return _again(spark, "csv", lambda f: files.write_csv(_one(spark, sf_dir), f), lambda f: files.load_for_backtest(spark, f, symbol=_ONE).drop("file"))
+
+
+@register(Q.chain(Q.ORDERS_BARS) + f"SELECT {_BAR_COLUMNS}, row_number() OVER (ORDER BY ts) AS seq FROM bars WHERE symbol = '{_ONE}'")
+def csv_scan_search(spark, sf_dir):
+    return _again(spark, "csv", lambda f: files.write_csv(_one(spark, sf_dir), f), lambda f: files.load_for_search(spark, f, symbol=_ONE).drop("file"))
+
+
+@register(Q.chain(Q.ORDERS_BARS) + f"SELECT {_BAR_COLUMNS}, row_number() OVER (ORDER BY ts) AS seq FROM bars WHERE symbol = '{_ONE}'")
+def csv_scan_analyze(spark, sf_dir):
+    return _again(spark, "csv", lambda f: files.write_csv(_one(spark, sf_dir), f), lambda f: files.load_for_analysis(spark, f, symbol=_ONE).drop("file"))
+
+
+@register(Q.chain(*_CLEAN, Q.filled("c1", "c2"), Q.price_rules("c2", "c3"), Q.quality("c3", "c4")) + f"SELECT {_BAR_COLUMNS} FROM c4 WHERE symbol = '{_ONE}'")
+def csv_scan_clean(spark, sf_dir):
+    """Dirty bars in source order, written as they are, read and cleaned."""
+    dirty = dirty_bars(spark, sf_dir).where(F.col("symbol") == _ONE)
+    write = lambda f: dirty.coalesce(1).sortWithinPartitions("seq").select(F.col("ts").alias("timestamp"), *VALUES).write.options(**files.CSV).csv(f)
+    return _again(spark, "csv", write, lambda f: files.load_for_backtest(spark, f, clean=True, symbol=_ONE).select("symbol", "ts", *VALUES))
+
+
+def _run_one(spark: SparkSession, sf_dir: str) -> sinks.Run:
+    simulated = cut(_simulated(spark, sf_dir).where(F.col("symbol") == _ONE))
+    return sinks.Run(M.summarize(simulated, engine=ENGINE), trades(simulated), M.equity_curve(simulated))
+
+
+def _csv_sink(spark: SparkSession, sf_dir: str, part: str, schema: str) -> DataFrame:
+    read = lambda f: spark.read.schema(schema).option("header", True).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).csv(f"{f}/*_{part}")
+    return _again(spark, "sink", lambda f: sinks.CsvSink(f).export(_run_one(spark, sf_dir), "run-1", {"symbol": _ONE, "strategy_name": "ma"}), read)
+
+
+@register(Q.chain(*_CURVE) + f"SELECT {Q.when('ts')} AS timestamp, round(portfolio_value, 6) AS portfolio_value, 'run-1' AS backtest_id FROM curve WHERE symbol = '{_ONE}'")
+def csv_sink_equity(spark, sf_dir):
+    return _csv_sink(spark, sf_dir, "equity", "timestamp timestamp, portfolio_value double, backtest_id string")
+
+
+@register(Q.chain(*_TRADED) + f"SELECT {Q.when('ts')} AS timestamp, symbol, side, {Q.r6('price', 'quantity', 'value')}, 'run-1' AS backtest_id FROM trades WHERE symbol = '{_ONE}'")
+def csv_sink_trades(spark, sf_dir):
+    return _csv_sink(spark, sf_dir, "trades", "timestamp timestamp, symbol string, side string, price double, quantity double, value double, backtest_id string")
+
+
+def _documents(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    def write(folder: str) -> None:
+        sinks.DocumentSink(path=folder.removeprefix("file://")).export(_run_one(spark, sf_dir), "run-1", {})
+
+    return _again(spark, "index", write, lambda f: spark.read.schema(sinks.MAPPINGS[kind]).option("pathGlobFilter", "*.jsonl").json(f"{f}/barwright-{kind}")).drop("created_at")
+
+
+@register(Q.chain(*_TRADED) + f"SELECT * FROM ({_TRADES_SQL}) WHERE symbol = '{_ONE}'")
+def document_sink_trades(spark, sf_dir):
+    """Trades of a run, sent in bulk to a document store and read from it."""
+    return _documents(spark, sf_dir, "trades")
+
+
+@register(Q.chain(*_RESULTS) + f"SELECT {_META} FROM ({_META_SQL}) WHERE symbol = '{_ONE}'")
+def document_sink_metadata(spark, sf_dir):
+    return _documents(spark, sf_dir, "backtests")
+
+
+@register(Q.chain(Q.ORDERS_BARS) + f"SELECT symbol, {Q.when('ts')} AS ts, {Q.r6(*VALUES)} FROM bars")
+def parquet_by_symbol(spark, sf_dir):
+    """The download sink's table, a folder a symbol."""
+    return _again(spark, "bars", lambda f: files.write_parquet(orders_bars(spark, sf_dir), f), lambda f: spark.read.parquet(f).select("symbol", "ts", *VALUES))
+
+
+@register("SELECT DISTINCT split_part(o_orderpriority, '-', 2) AS symbol, count(*) AS n FROM orders GROUP BY 1")
+def symbol_from_name(spark, sf_dir):
+    """Symbols of file names made of the priorities."""
+    names = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("/data/x/"), F.element_at(F.split("o_orderpriority", "-"), 2), F.lit("_1d.csv")).alias("path"))
+    return names.groupBy(files.symbol_of(F.col("path")).alias("symbol")).agg(F.count("*").alias("n"))
+
+
+# settings, a set for each supplier
+
+
+def _settings(spark: SparkSession, sf_dir: str, **columns: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return rows.select("s_suppkey", *[F.expr(e).alias(n) for n, e in columns.items()])
+
+
+def _complaint_sql(columns: dict[str, str], rules: list[tuple[str, str]]) -> str:
+    made = ", ".join(f"{e.replace(' DIV ', ' // ')} AS {n}" for n, e in columns.items())
+    return f"SELECT s_suppkey, CASE " + " ".join(f"WHEN NOT ({rule}) THEN '{message}'" for rule, message in rules) + f" END AS complaint FROM (SELECT s_suppkey, {made} FROM supplier)"
+
+
+_ENGINE_SETTINGS = {"initial_capital": "s_acctbal", "commission": "cast(s_suppkey % 5 - 1 AS double)", "min_order_value": "cast(s_suppkey % 7 - 1 AS double)"}
+
+
+@register(_complaint_sql(_ENGINE_SETTINGS, [("initial_capital > 0", "Initial capital must be positive"), ("commission >= 0", "Commission cannot be negative"), ("min_order_value >= 0", "Minimum order value cannot be negative")]))
+def engine_settings_check(spark, sf_dir):
+    return limits.first_complaint(_settings(spark, sf_dir, **_ENGINE_SETTINGS), limits.ENGINE).select("s_suppkey", "complaint")
+
+
+_RISK_SETTINGS = {"position_size_pct": "cast(s_suppkey % 12 AS double) / 10", "stop_loss_pct": "cast(s_suppkey % 5 AS double) / 4 - 0.25", "max_positions": "s_nationkey - 2", "max_risk_per_trade": "cast(s_suppkey % 11 AS double) / 10"}
+
+
+@register(_complaint_sql(_RISK_SETTINGS, [("position_size_pct > 0 AND position_size_pct <= 1", "position_size_pct must be between 0 and 1"), ("stop_loss_pct >= 0 AND stop_loss_pct <= 1", "stop_loss_pct must be between 0 and 1"), ("max_positions > 0", "max_positions must be positive"), ("max_risk_per_trade > 0 AND max_risk_per_trade <= 1", "max_risk_per_trade must be between 0 and 1"), ("position_size_pct * stop_loss_pct <= max_risk_per_trade", "Position size ({position_size_pct}) * stop loss ({stop_loss_pct}) exceeds max risk per trade ({max_risk_per_trade})")]))
+def risk_settings_check(spark, sf_dir):
+    return limits.first_complaint(_settings(spark, sf_dir, **_RISK_SETTINGS), limits.FIXED_RISK).select("s_suppkey", "complaint")
+
+
+_ANALYSIS_SETTINGS = {"test_window_months": "s_suppkey % 4", "step_months": "s_suppkey % 3", "n_simulations": "s_nationkey", "bootstrap_sample_pct": "cast(s_suppkey % 6 AS double) / 4", "block_size_days": "s_suppkey % 9"}
+
+
+@register(_complaint_sql(_ANALYSIS_SETTINGS, [("test_window_months > 0", "test_window_months must be positive"), ("step_months > 0", "step_months must be positive"), ("n_simulations > 0", "n_simulations must be positive"), ("bootstrap_sample_pct > 0 AND bootstrap_sample_pct <= 1", "bootstrap_sample_pct must be between 0 and 1"), ("block_size_days > 0", "block_size_days must be positive")]))
+def analysis_settings_check(spark, sf_dir):
+    return limits.first_complaint(_settings(spark, sf_dir, **_ANALYSIS_SETTINGS), (*limits.WALK_FORWARD, *limits.MONTE_CARLO)).select("s_suppkey", "complaint")
+
+
+_CROSSOVER_SETTINGS = {"short_window": "s_suppkey % 20 - 1", "long_window": "s_nationkey", "position_size": "cast(s_suppkey % 13 AS double) / 10"}
+
+
+@register(_complaint_sql(_CROSSOVER_SETTINGS, [("short_window > 0 AND long_window > 0", "Window sizes must be positive"), ("short_window < long_window", "Short window must be less than long window"), ("position_size > 0 AND position_size <= 1", "Position size must be between 0 and 1")]))
+def strategy_settings_check(spark, sf_dir):
+    return limits.first_complaint(_settings(spark, sf_dir, **_CROSSOVER_SETTINGS), limits.CROSSOVER).select("s_suppkey", "complaint")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -29,20 +32,43 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares for checkpoints; a local one is set only where none is named."""
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``.
+
+    Only a driver that runs all tasks itself may do without: a temporary one is set there.
+    Elsewhere a folder of this machine would be lost to the executors, so that is an error.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    named = named or context.getCheckpointDir() or f"{tempfile.gettempdir()}/barwright-checkpoints"
     if not context.getCheckpointDir():
-        context.setCheckpointDir(named or "/tmp/barwright-checkpoints")
-    return named or "/tmp/barwright-checkpoints"
+        context.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder; survives the loss of executors."""
+    """Cut lineage with a checkpoint in the shared folder; survives the loss of executors.
+
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, set by ``session``, removes it when
+    nothing refers to it any more.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder, for tables that ``discard`` removes."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def visible(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from where the driver has it.
 

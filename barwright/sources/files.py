@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import os
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,19 +27,12 @@ def symbol_of(path: Column) -> Column:
     return F.element_at(F.split(stem, "_"), 1)
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
+def _header(spark: SparkSession, path: str | list[str]) -> list[str]:
     return spark.read.options(**CSV).csv(path).columns
 
 
-def read_csv(spark: SparkSession, path: str, symbol: str | None = None, require: str | None = None, lower: bool = True, sort: bool = False) -> DataFrame:
-    """Bars of one file, a glob or a directory.
-
-    The schema is explicit: all columns are read as text but the prices, as double; ``seq`` is
-    the place in the file, kept by reading each file as one partition would give it. ``require``
-    is the only time column allowed, for loaders that insist on one; else the first of
-    ``TIME_NAMES``, or an unnamed first column. ``symbol`` defaults to the file's name.
-    """
-    names = _header(spark, path)
+def _mapped(names: list[str], require: str | None, lower: bool) -> tuple[str, dict[str, str]]:
+    """The time column of a header, and its columns by the name they go by."""
     if not names:
         raise ValueError("empty file")
     allowed = (require,) if require else TIME_NAMES
@@ -50,6 +44,19 @@ def read_csv(spark: SparkSession, path: str, symbol: str | None = None, require:
     missing = [c for c in VALUES if c not in wanted]
     if missing:
         raise ValueError(f"Missing required columns: {missing}")
+    return time, wanted
+
+
+def read_csv(spark: SparkSession, path: str | list[str], symbol: str | None = None, require: str | None = None, lower: bool = True, sort: bool = False, names: list[str] | None = None) -> DataFrame:
+    """Bars of one file, a glob, a directory, or a list of files with one header.
+
+    The schema is explicit: all columns are read as text but the prices, as double; ``seq`` is
+    the place in the file, kept by reading each file as one partition would give it. ``require``
+    is the only time column allowed, for loaders that insist on one; else the first of
+    ``TIME_NAMES``, or an unnamed first column. ``symbol`` defaults to the file's name.
+    """
+    names = _header(spark, path) if names is None else names
+    time, wanted = _mapped(names, require, lower)
     schema = T.StructType([T.StructField(c, T.DoubleType() if (c.lower() if lower else c) in VALUES else T.StringType()) for c in names])
     rows = spark.read.schema(schema).options(**CSV).csv(path)
     file = F.col("_metadata.file_path")
@@ -115,14 +122,49 @@ def clean_file(spark: SparkSession, source: str, target: str | None = None) -> b
     return True
 
 
+def headers(spark: SparkSession, source: str) -> DataFrame:
+    """(file, header) of all CSV files under a directory, each file's first line."""
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(source).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return lines.where("start = 0").groupBy("file").agg(F.min_by("value", "row").alias("header"))
+
+
 def clean_directory(spark: SparkSession, source: str, target: str, suffix: str = "_cleaned") -> DataFrame:
-    """All files of a directory in one job: cleaned by file, written by file; (file, rows) of the result."""
-    bars = read_csv(spark, source)
-    # steps work by symbol, so the file stands in for it while they run
-    by_file = clean_bars(bars.withColumn("name", F.col("symbol")).withColumn("symbol", F.col("file")).drop("file"))
-    out = by_file.select(F.concat(F.regexp_extract("symbol", r"([^/]+?)(\.[^./]*)?$", 1), F.lit(suffix)).alias("file"), F.col("ts").alias("timestamp"), *VALUES)
-    out.repartition("file").sortWithinPartitions("file", "timestamp").write.mode("overwrite").partitionBy("file").options(**CSV).csv(target)
-    return spark.read.options(**CSV).csv(target).groupBy("file").agg(F.count("*").alias("n_rows"))
+    """All CSV files of a directory: (file, n_rows, error), a row each.
+
+    Files with the same header are read, cleaned by file and written to a folder each in one
+    job; a header that can't be used fails its files alone, and only they have an error. A
+    name's cleaned rows go to ``target/file=<name><suffix>``, over what was there.
+    """
+    groups: dict[str, list[str]] = {}
+    for r in headers(spark, source).toLocalIterator():
+        groups.setdefault(r["header"] or "", []).append(r["file"])
+    stem = lambda c: F.concat(F.regexp_extract(c, r"([^/]+?)(\.[^./]*)?$", 1), F.lit(suffix))
+    parts, failed = [], []
+    for header, paths in sorted(groups.items()):
+        try:
+            bars = read_csv(spark, paths, names=[n.strip().strip('"') or "_c0" for n in header.split(",")])
+        except ValueError as error:
+            failed += [(p, str(error)) for p in paths]
+            continue
+        # steps work by symbol, so the file stands in for it while they run
+        by_file = clean_bars(bars.withColumn("symbol", F.col("file")).drop("file"))
+        parts.append(by_file.select(stem(F.col("symbol")).alias("file"), F.col("ts").alias("timestamp"), *VALUES))
+    errors = spark.createDataFrame(failed, "path string, error string").select(stem(F.col("path")).alias("file"), F.lit(0).cast("long").alias("n_rows"), "error")
+    if not parts:
+        return errors
+    whole = reduce(DataFrame.unionByName, parts)
+    whole.repartition("file").sortWithinPartitions("file", "timestamp").write.mode("overwrite").partitionBy("file").options(**CSV).csv(target)
+    asked = spark.createDataFrame([(p,) for paths in groups.values() for p in paths], "path string").select(stem(F.col("path")).alias("file"))
+    counts = spark.read.options(**CSV).csv(target).groupBy("file").agg(F.count("*").alias("n_rows"))
+    good = asked.join(errors.select("file"), "file", "left_anti").join(counts, "file", "left").select("file", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.lit(None).cast("string").alias("error"))
+    return good.unionByName(errors)
+
+
+def write_download(bars: DataFrame, folder: str, symbol: str, source: str, timeframe: str, start: str, end: str) -> str:
+    """Write downloaded bars under the name that says what they are; that name."""
+    path = os.path.join(folder, download_name(symbol, source, timeframe, start, end))
+    write_csv(bars, path)
+    return path
 
 
 def download_name(symbol: str, source: str, timeframe: str, start: str, end: str) -> str:

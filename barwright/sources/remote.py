@@ -10,12 +10,16 @@ import json
 import logging
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from barwright.session import cut
+
 #: The time frames of either source.
 EXCHANGE_FRAMES = ["1m", "5m", "15m", "30m", "1h", "2h", "4h", "6h", "8h", "12h", "1d", "3d", "1w", "1M"]
 QUOTE_FRAMES = ["1m", "2m", "5m", "15m", "30m", "60m", "90m", "1h", "1d", "5d", "1wk", "1mo", "3mo"]
@@ -63,16 +67,30 @@ class ExchangeSource(Source):
             logging.error("unknown time frame %r; there are %s", timeframe, self.frames)
             return None
         try:
-            rows = [(int(c[0]), *map(float, c[1:6])) for c in pages(self.clients[exchange], symbol, timeframe, start_ms, end_ms, limit)]
+            fetch = self.clients[exchange]
+            candles = cut(self.fetched(spark, fetch, symbol, timeframe, start_ms, end_ms, limit))
+            if not candles.take(1):
+                return None
         except Exception as error:  # noqa: BLE001
             logging.error("can't download from %s: %s", exchange, error)
             return None
-        if not rows:
-            return None
-        candles = spark.createDataFrame(rows, CANDLE).where(F.col("ts_ms").between(start_ms, end_ms))
         return candles.select(F.lit(symbol).alias("symbol"), F.timestamp_millis("ts_ms").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+    @staticmethod
+    def fetched(spark: SparkSession, fetch: Fetch, symbol: str, timeframe: str, start_ms: int, end_ms: int, limit: int) -> DataFrame:
+        """Candles of one task, which follows the pages in turn and hands them on one by one; the driver holds none."""
+
+        def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = pages(fetch, symbol, timeframe, start_ms, end_ms, limit) if batch.num_rows else ()
+                candles = ((int(c[0]), *map(float, c[1:6])) for c in found if c[0] >= start_ms)
+                while part := list(islice(candles, limit)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part, strict=True)], names=[f.split(" ")[0] for f in CANDLE.split(", ")])
+
+        return spark.range(1, numPartitions=1).mapInArrow(follow, CANDLE)
+
+
 class QuoteSource(Source):
     """Daily quotes: names flattened to their first level, in the fixed order, those that are there."""
 

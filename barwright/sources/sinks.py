@@ -11,13 +11,17 @@ import json
 import logging
 import os
 import re
+import shutil
+import time
 import uuid
 from abc import ABC, abstractmethod
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from typing import Any
+from functools import partial
+from itertools import islice
+from typing import Any, Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,42 +156,145 @@ class CsvSink(Sink):
         (df.coalesce(1) if self.single else df).write.mode("overwrite").option("header", True).csv(path)
 
 
+class IndexClient(Protocol):
+    """What a document store has to offer; an Elasticsearch client is wrapped in this."""
+
+    def ping(self) -> bool: ...
+    def indices(self) -> list[str]: ...
+    def create(self, index: str, mapping: dict[str, Any]) -> None: ...
+    def bulk(self, index: str, documents: Iterable[dict[str, Any]]) -> int: ...
+    def count(self, index: str) -> int: ...
+    def size(self, index: str) -> int: ...
+    def delete(self, index: str) -> None: ...
+
+
+class FolderIndex:
+    """An index client over a shared folder: one folder an index, its mapping, and a file of JSON lines for each bulk write."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def _files(self, index: str) -> list[str]:
+        folder = os.path.join(self.path, index)
+        return sorted(os.path.join(folder, n) for n in os.listdir(folder) if n.endswith(".jsonl")) if os.path.isdir(folder) else []
+
+    def ping(self) -> bool:
+        try:
+            os.makedirs(self.path, exist_ok=True)
+        except OSError:
+            return False
+        return os.access(self.path, os.W_OK)
+
+    def indices(self) -> list[str]:
+        return sorted(n for n in os.listdir(self.path) if os.path.isdir(os.path.join(self.path, n))) if os.path.isdir(self.path) else []
+
+    def create(self, index: str, mapping: dict[str, Any]) -> None:
+        os.makedirs(os.path.join(self.path, index), exist_ok=True)
+        with open(os.path.join(self.path, index, "mapping.json"), "w") as f:
+            json.dump(mapping, f, indent=2)
+
+    def bulk(self, index: str, documents: Iterable[dict[str, Any]]) -> int:
+        """Write under a name of its own, then rename, so a task that is run again leaves no half file."""
+        written, name = 0, os.path.join(self.path, index, uuid.uuid4().hex)
+        with open(f"{name}.part", "w") as f:
+            for document in documents:
+                f.write(json.dumps(document, default=str) + "\n")
+                written += 1
+        os.replace(f"{name}.part", f"{name}.jsonl")
+        return written
+
+    def count(self, index: str) -> int:
+        return sum(1 for name in self._files(index) for _ in open(name))
+
+    def size(self, index: str) -> int:
+        return sum(os.path.getsize(name) for name in self._files(index))
+
+    def delete(self, index: str) -> None:
+        shutil.rmtree(os.path.join(self.path, index))
+
+
+#: Field types of the document store.
+FIELD_TYPES = {T.StringType: "keyword", T.TimestampType: "date", T.DoubleType: "double", T.LongType: "long", T.BooleanType: "boolean"}
+
+
+def mapping(kind: str) -> dict[str, Any]:
+    """The mapping of a document type."""
+    return {"mappings": {"properties": {f.name: {"type": FIELD_TYPES[type(f.dataType)]} for f in MAPPINGS[kind].fields}}}
+
+
+def document_id(df: DataFrame) -> Column:
+    """A document's id by its contents, so that a bulk write that is repeated overwrites itself."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256)
+
+
 class DocumentSink(Sink):
-    """The four document frames; ``write`` takes (index name, frame) and defaults to Parquet tables under ``path``."""
+    """The four document frames, written in bulk by the tasks that hold them.
+
+    ``connect`` makes a client; it is called on the driver for indices and in each task for
+    its documents. Without one documents go to the folder ``path``, which all must share.
+    """
 
     name = "elasticsearch"
 
-    def __init__(self, path: str | None = None, prefix: str | None = None, write: Callable[[str, DataFrame], None] | None = None, commission: float = 0.001, **config: Any) -> None:
+    def __init__(self, path: str | None = None, prefix: str | None = None, connect: Callable[[], IndexClient] | None = None, commission: float = 0.001, chunk: int = 500, **config: Any) -> None:
         super().__init__(**config)
-        self.path = path or os.environ.get("BARWRIGHT_INDEX_PATH", "/tmp/barwright-index")
+        path = path or os.environ.get("BARWRIGHT_INDEX_PATH")
+        if connect is None and path is None:
+            raise ValueError("a document sink needs a client or a shared folder")
+        self.connect: Callable[[], IndexClient] = connect or partial(FolderIndex, path)
         self.prefix = prefix or os.environ.get("BARWRIGHT_INDEX_PREFIX", "barwright")
-        self.commission = commission
-        self.write = write or (lambda index, df: df.write.mode("append").parquet(f"{self.path}/{index}"))
+        self.commission, self.chunk = commission, chunk
 
     def export(self, run: Run, backtest_id: str, metadata: dict[str, Any]) -> None:
+        self.create_indices()
         now = dt.datetime.now(dt.timezone.utc)
         frames = {"backtests": metadata_frame(run.results, backtest_id, self.commission, now), "portfolio": portfolio_frame(run.equity, backtest_id, now), "trades": trades_frame(run.trades, backtest_id, now), "positions": positions_frame(run.trades, backtest_id, now)}
         for kind, df in frames.items():
             self.write(f"{self.prefix}-{kind}", df)
 
-    def create_index(self, spark: SparkSession, kind: str) -> DataFrame:
-        return spark.createDataFrame([], MAPPINGS[kind])
+    def write(self, index: str, df: DataFrame) -> None:
+        connect, chunk = self.connect, self.chunk
+
+        def send(rows: Iterator[Row]) -> None:
+            client = None
+            while part := list(islice(rows, chunk)):
+                client = client or connect()
+                client.bulk(index, [r.asDict(recursive=True) for r in part])
+
+        df.withColumn("_id", document_id(df)).foreachPartition(send)
+
+    def create_indices(self) -> list[str]:
+        """Create the indices that aren't there yet, with their mappings."""
+        client = self.connect()
+        wanted = {f"{self.prefix}-{kind}": kind for kind in MAPPINGS}
+        made = [name for name in wanted if name not in client.indices()]
+        for name in made:
+            client.create(name, mapping(wanted[name]))
+        return made
 
     def available(self) -> bool:
-        """Whether the index can be written to."""
+        """Whether the store answers."""
         try:
-            os.makedirs(self.path, exist_ok=True)
-        except OSError:
+            return self.connect().ping()
+        except Exception as error:  # noqa: BLE001
+            logging.error("no document store: %s", error)
             return False
-        return os.access(self.path, os.W_OK)
 
     def indices(self) -> list[str]:
-        return sorted(n for n in os.listdir(self.path) if n.startswith(f"{self.prefix}-")) if os.path.isdir(self.path) else []
+        return [n for n in self.connect().indices() if n.startswith(f"{self.prefix}-")]
 
 
 SINKS: dict[str, type[Sink]] = {"console": ConsoleSink, "csv": CsvSink, "elasticsearch": DocumentSink}
 
 
+def _together(rows: list[dict[str, Any]]) -> dict[str, Any]:
+    """Metadata of several results: what they share, the span of their dates, and each of them."""
+    if not rows:
+        return {}
+    shared = {k: v for k, v in rows[0].items() if all(r[k] == v for r in rows)}
+    return shared | {"symbol": "MULTI", "start_date": min(r["start_date"] for r in rows), "end_date": max(r["end_date"] for r in rows), "results": rows}
+
+
 class SinkManager:
     """Fans a run out to its sinks; one that fails doesn't stop the others."""
 
@@ -225,9 +332,10 @@ class SinkManager:
         self.sinks.clear()
 
     def export(self, run: Run, backtest_id: str | None = None, **metadata: Any) -> str:
+        """Send a run, of one symbol or many, to all sinks under one id; metadata of several results lists them all."""
         backtest_id = backtest_id or run_id()
-        row = run.results.limit(1).collect()
-        described = (row[0].asDict() if row else {}) | metadata
+        rows = [r.asDict() for r in run.results.orderBy("symbol").toLocalIterator()]
+        described = (rows[0] if len(rows) == 1 else _together(rows)) | metadata
         for sink in self.sinks:
             try:
                 sink.export(run, backtest_id, described)
@@ -243,10 +351,10 @@ def results_json(ranked: DataFrame, path: str, metadata: dict[str, Any] | None =
         json.dump({"metadata": metadata or {}, "results": rows}, f, indent=2, default=str)
 
 
-def with_run(child: DataFrame, runs: DataFrame) -> DataFrame:
-    """Rows of a child frame with what the run's metadata says, by backtest_id; clashing columns stay the child's."""
-    extra = [c for c in runs.columns if c == "backtest_id" or c not in child.columns]
-    return child.join(runs.select(*extra), "backtest_id")
+def with_run(child: DataFrame, runs: DataFrame, keys: tuple[str, ...] = ("backtest_id",)) -> DataFrame:
+    """Rows of a child frame with what their run's metadata says, by id, and by symbol where an id holds several; clashing columns stay the child's."""
+    extra = [c for c in runs.columns if c in keys or c not in child.columns]
+    return child.join(runs.select(*extra), list(keys))
 
 
 def data_views(prefix: str = "barwright") -> list[dict[str, str]]:
@@ -255,23 +363,54 @@ def data_views(prefix: str = "barwright") -> list[dict[str, str]]:
     return [{"title": f"{prefix} {kind}", "pattern": f"{prefix}-{kind}*", "time_field": field} for kind, field in times.items()]
 
 
+def wait_for(client: IndexClient, attempts: int = 30, delay: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> bool:
+    """Whether a store answers within some attempts."""
+    for n in range(attempts):
+        try:
+            if client.ping():
+                return True
+        except Exception as error:  # noqa: BLE001  it may still be starting
+            logging.info("not yet: %s", error)
+        if n + 1 < attempts:
+            sleep(delay)
+    return False
+
+
+def set_up_views(views: Callable[[], Iterable[str]], create: Callable[[dict[str, str]], None], prefix: str = "barwright") -> list[str]:
+    """Create the dashboard views that aren't there yet; titles of those made. One that fails doesn't stop the others."""
+    held, made = set(views()), []
+    for view in data_views(prefix):
+        if view["title"] in held:
+            continue
+        try:
+            create(view)
+        except Exception as error:  # noqa: BLE001
+            logging.error("view %s failed: %s", view["title"], error)
+        else:
+            made.append(view["title"])
+    return made
+
+
 class IndexAdmin:
-    """Tables of a database by prefix: list with counts and bytes, and drop after a dry run."""
+    """The indices that a document sink writes: list with counts and bytes, and delete after a dry run."""
 
-    def __init__(self, spark: SparkSession, database: str = "default", prefix: str = "barwright") -> None:
-        self.spark, self.database, self.prefix = spark, database, prefix
+    def __init__(self, client: IndexClient, prefix: str = "barwright") -> None:
+        self.client, self.prefix = client, prefix
 
-    def tables(self) -> list[str]:
-        return [t.name for t in self.spark.catalog.listTables(self.database) if t.name.startswith(self.prefix) and not t.isTemporary]
+    def indices(self) -> list[str]:
+        return [n for n in self.client.indices() if n.startswith(f"{self.prefix}-")]
 
     def counts(self) -> dict[str, int]:
-        return {t: self.spark.table(f"{self.database}.{t}").count() for t in self.tables()}
+        return {n: self.client.count(n) for n in self.indices()}
+
+    def sizes(self) -> dict[str, str]:
+        return {n: readable_size(self.client.size(n)) for n in self.indices()}
 
     def drop(self, confirm: bool = False) -> list[str]:
-        found = self.tables()
-        if confirm:
-            for t in found:
-                self.spark.sql(f"DROP TABLE {self.database}.`{t}`")
+        """Indices that are, or with ``confirm`` were, deleted."""
+        found = self.indices()
+        for name in found if confirm else ():
+            self.client.delete(name)
         return found
 
 

@@ -47,6 +47,6 @@ def test_random_search_draws_the_suggested_number(spark, sf_dir, monkeypatch):
 
     drawn = []
     run = catalog.evaluate
-    monkeypatch.setattr(catalog, "evaluate", lambda bars, combos, engine: drawn.append(len(combos)) or run(bars, combos, engine))
+    monkeypatch.setattr(catalog, "evaluate", lambda bars, combos, engine: drawn.append(combos.count()) or run(bars, combos, engine))
     catalog.QUERIES["random_search_top_k"](spark, sf_dir)
     assert drawn == [catalog.MA_SPACE.suggested_samples()] == [163]

@@ -3,9 +3,11 @@
 import datetime as dt
 import json
 import os
+import sys
 
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from barwright import cli
@@ -16,6 +18,7 @@ from barwright.sources import bars as B
 from barwright.sources import files, remote, sinks
 from barwright.streaming import live
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't see this file
 DAY = dt.datetime(2024, 1, 1)
 
 
@@ -56,8 +59,11 @@ def test_clean_files(spark, tmp_path):
     source.mkdir()
     for name in ("AAA_1d", "AAA_1h", "BBB_1d"):
         write(source / f"{name}.csv", bad=name == "AAA_1d")
-    counts = {r.file: r.n_rows for r in files.clean_directory(spark, str(source), str(tmp_path / "out")).collect()}
-    assert counts == {"AAA_1d_cleaned": 59, "AAA_1h_cleaned": 60, "BBB_1d_cleaned": 60}
+    write(source / "CCC_1d.csv", "Date", caps=True)  # another header
+    (source / "DDD_1d.csv").write_text("timestamp,open\n2024-01-01,1\n")  # can't be used
+    counts = {r.file: (r.n_rows, r.error) for r in files.clean_directory(spark, str(source), str(tmp_path / "out")).collect()}
+    assert "Missing required" in counts.pop("DDD_1d_cleaned")[1]
+    assert counts == {"AAA_1d_cleaned": (59, None), "AAA_1h_cleaned": (60, None), "BBB_1d_cleaned": (60, None), "CCC_1d_cleaned": (60, None)}
     assert files.cleaned_name("/x/a.csv") == "/x/a_cleaned.csv"
     assert files.clean_file(spark, str(source / "AAA_1d.csv"), str(tmp_path / "one")) and not files.clean_file(spark, str(tmp_path / "none.csv"), str(tmp_path / "two"))
     assert files.load_for_backtest(spark, str(tmp_path / "one")).count() == 59
@@ -77,17 +83,15 @@ def test_parameters(tmp_path):
 
 
 def test_exchange_pages(spark):
-    calls = []
-
     def fetch(symbol, frame, since, limit):
-        calls.append(since)
-        return [[1000, 1, 2, 0.5, 1.5, 10]] * 1000 if len(calls) == 1 else [[2000, 1, 2, 0.5, 1.5, 10]]
+        return [[1000, 1, 2, 0.5, 1.5, since]] * 1000 if since == 0 else [[2000, 1, 2, 0.5, 1.5, since]]
 
     source = remote.ExchangeSource({"ex": fetch})
     df = source.download(spark, "ex", "A/B", "1d", 0, 5000)
-    assert df.count() == 1001 and calls == [0, 1001]
+    assert df.count() == 1001 and {r.volume for r in df.select("volume").distinct().collect()} == {0.0, 1001.0}  # the second page begins after the last time
     assert source.download(spark, "ex", "A/B", "7x", 0, 1) is None and source.download(spark, "no", "A/B", "1d", 0, 1) is None
     assert remote.ExchangeSource({"ex": lambda *a: []}).download(spark, "ex", "A", "1d", 0, 1) is None
+    assert remote.ExchangeSource({"ex": lambda *a: 1 / 0}).download(spark, "ex", "A", "1d", 0, 1) is None
     late = remote.ExchangeSource({"ex": lambda *a: [[1, 1, 1, 1, 1, 1], [9, 1, 1, 1, 1, 1]]})
     assert late.download(spark, "ex", "A", "1d", 0, 5, 2).count() == 1
     assert source.exchanges() == ["ex"] and len(source.timeframes()) == 14 and len(remote.QuoteSource().timeframes()) == 13
@@ -139,9 +143,12 @@ def test_csv_and_document_sinks(spark, run, tmp_path, capsys):
     assert equity.columns == ["timestamp", "portfolio_value", "backtest_id"] and equity.count() == run.equity.count()
     index = sinks.DocumentSink(path=str(tmp_path / "index"))
     assert index.indices() == [f"barwright-{k}" for k in ("backtests", "portfolio", "positions", "trades")]
-    for kind in ("trades", "positions"):
-        assert spark.read.parquet(str(tmp_path / "index" / f"barwright-{kind}")).columns == sinks.MAPPINGS[kind].names
-    assert index.create_index(spark, "portfolio").count() == 0
+    admin = sinks.IndexAdmin(sinks.FolderIndex(str(tmp_path / "index")))
+    assert admin.counts()["barwright-trades"] == run.trades.count() and admin.counts()["barwright-portfolio"] == run.equity.count()
+    held = json.loads((tmp_path / "index" / "barwright-trades" / "mapping.json").read_text())
+    assert held["mappings"]["properties"]["timestamp"] == {"type": "date"} and set(held["mappings"]["properties"]) == set(sinks.MAPPINGS["trades"].names)
+    assert index.create_indices() == [] and set(admin.sizes()) == set(admin.indices())
+    assert admin.drop() == admin.indices() and admin.drop(confirm=True) and admin.indices() == []
     assert "total_trades" in capsys.readouterr().out
     manager.clear()
     assert manager.count() == 0
@@ -160,10 +167,47 @@ def test_small_helpers(spark, run, tmp_path):
     sinks.results_json(run.results, str(tmp_path / "r.json"), {"a": 1})
     assert json.loads((tmp_path / "r.json").read_text())["metadata"] == {"a": 1}
     assert sinks.DocumentSink(path=str(tmp_path / "new")).available() and [v["time_field"] for v in sinks.data_views()] == ["created_at", "timestamp", "timestamp", "exit_timestamp"]
+    views = []
+    assert len(sinks.set_up_views(lambda: ["barwright trades"], views.append)) == 3 == len(views)
+    tries = iter([RuntimeError, False, True])
+
+    class Client:
+        def ping(self):
+            got = next(tries)
+            if got is RuntimeError:
+                raise got
+            return got
+
+    assert sinks.wait_for(Client(), 3, sleep=lambda _: None) and not sinks.wait_for(type("Down", (), {"ping": lambda self: False})(), 2, sleep=lambda _: None)
+    with pytest.raises(ValueError, match="shared folder"):
+        sinks.DocumentSink()
     joined = sinks.with_run(sinks.trades_frame(run.trades, "r1"), sinks.metadata_frame(run.results, "r1"))
     assert joined.count() == run.trades.count() and "strategy_name" in joined.columns
-    admin = sinks.IndexAdmin(spark, prefix="none_such")
-    assert admin.tables() == [] and admin.counts() == {} and admin.drop(confirm=True) == []
+    two = run.results.unionByName(run.results.withColumn("symbol", F.lit("other")))
+    manager = sinks.SinkManager()
+    manager.add(sinks.CsvSink(str(tmp_path / "two")))
+    manager.export(sinks.Run(two, run.trades, run.equity), "id")
+    meta = json.loads(next((tmp_path / "two").glob("MULTI*.json")).read_text())
+    assert [r["symbol"] for r in meta["results"]] == ["1-URGENT", "other"]
+
+
+def test_shared_folder_is_needed_off_this_machine(spark, monkeypatch):
+    from barwright import session
+
+    class Elsewhere:
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Elsewhere)
+    folder = session.scratch(spark, "x")
+    spark.range(3).write.parquet(folder)
+    session.discard(spark, folder)
+    assert not os.path.exists(folder.removeprefix("file://"))
 
 
 def test_streamed_bars_equal_batch_bars(spark, sf_dir, tmp_path):
@@ -198,7 +242,23 @@ def test_streamed_fold_equals_batch_fold(spark, sf_dir, tmp_path):
     assert got == sorted((r.symbol, r.ts, r.side, r.value) for r in trades(simulate(signals)).collect())
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_streamed_fold_counts_late_rows(spark, tmp_path):
+    schema = "symbol string, ts timestamp, close double, signal int, position_size double"
+    days = lambda *ns: [("X", DAY + dt.timedelta(days=n), 10.0, None if n == 3 else 1, 0.5) for n in ns]
+    folder = tmp_path / "rows"
+    for part in (days(2, 3, 4), days(1, 2, 5)):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    q = live.stream_fold(stream).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "c3")).start()
+    try:
+        q.processAllAvailable()
+        got = spark.table("late").collect()
+    finally:
+        q.stop()
+    assert [r.late_rows for r in got if r.side is None] == [2] and sum(r.side == "buy" for r in got) == 3
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     data = write(tmp_path / "SYM_1d.csv", n=300)
     out = str(tmp_path / "out")
     assert cli.main(["--log-level", "WARNING", "backtest", "--data", data, "--short", "3", "--long", "8", "--position-size", "0.5", "--exporters", "console,csv", "--output", out]) == 0
@@ -212,6 +272,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["backtest", "--data", data, "--risk", "kelly"]) in (0, 1)
     assert cli.main(["download", "--source", "quotes", "--symbol", "X", "--start", "2024-02-01", "--end", "2024-01-01"]) == 1
     assert "start date" in capsys.readouterr().err
+    asked = ["download", "--source", "exchange", "--symbol", "A/B", "--start", "2024-01-01", "--end", "2024-02-01", "--output", out]
+    assert cli.main(asked) == 1 and "client" in capsys.readouterr().err
+    (tmp_path / "a_client.py").write_text("def fetch(symbol, frame, since, limit):\n    return [[since + 86400000 * i, 1, 2, 0.5, 1.5, 10] for i in range(3)]\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    import a_client
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(a_client)
+    assert cli.main([*asked, "--client", "a_client:fetch", "--exchange", "ex"]) == 0
+    assert files.load_for_backtest(spark, f"{out}/AB_ex_1d_20240101_20240201.csv", symbol="AB").count() == 3
 
 
 def test_given_signals_default_size(spark):
