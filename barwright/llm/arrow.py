@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -19,6 +20,17 @@ BATCH_BYTES = 8 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark takes it, dots and backticks and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def spare(columns: list[str], name: str) -> str:
+    """``name``, or the first of it with a number that no column has, in any case."""
+    taken = {c.lower() for c in columns}
+    return next(n for n in (name, *(f"{name}_{k}" for k in range(len(taken) + 1))) if n.lower() not in taken)
+
+
 def small_batches(df: DataFrame) -> None:
     """Bound the session's Arrow batches by bytes where they may be larger; long rows make smaller batches."""
     conf = df.sparkSession.conf
@@ -54,8 +66,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def add_columns(df: DataFrame, made: dict[str, T.DataType], function: Callable[[pa.RecordBatch], list[pa.Array]], text: str | None = None) -> DataFrame:
-    """``df`` and the columns that ``function`` makes of each chunk of rows.
+def numbered(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``columns`` under names that any operator takes, and these names by the columns' own."""
+    safe = {c: f"c{n}" for n, c in enumerate(columns)}
+    return df.select(*[F.col(quoted(c)).alias(safe[c]) for c in columns]), safe
+
+
+def add_columns(df: DataFrame, made: dict[str, T.DataType], function: Callable[[pa.RecordBatch, dict[str, str]], list[pa.Array]], text: str | None = None) -> DataFrame:
+    """``df`` and the columns that ``function`` makes of each chunk of rows and the names that its columns have there.
 
     An input column whose name equals a made one, in any case, is replaced.
     """
@@ -63,12 +81,13 @@ def add_columns(df: DataFrame, made: dict[str, T.DataType], function: Callable[[
     taken = {name.lower() for name in made}
     kept = [c for c in df.columns if c.lower() not in taken]
     used = kept if text is None or text in kept else [*kept, text]
-    fields = [*(df.schema[c] for c in kept), *(T.StructField(n, t) for n, t in made.items())]
+    rows, names = numbered(df, used)
+    fields = [*(rows.schema[names[c]] for c in kept), *(T.StructField(f"made{n}", t) for n, t in enumerate(made.values()))]
     types = [to_arrow_type(t) for t in made.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text):
-            arrays = [a if a.type == t else a.cast(t) for a, t in zip(function(batch), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], names=[*kept, *made])
+        for batch in chunks(batches, names[text] if text else None):
+            arrays = [a if a.type == t else a.cast(t) for a, t in zip(function(batch, names), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(names[c]) for c in kept), *arrays], names=[f.name for f in fields])
 
-    return df.select(*[f"`{c}`" for c in used]).mapInArrow(run, T.StructType(fields))
+    return rows.mapInArrow(run, T.StructType(fields)).toDF(*kept, *made)

@@ -1,11 +1,17 @@
-"""Questions that blocks of documents ask of hash buckets, answered in two exchanges.
-
-A block is a hash-dealt group of documents, a few megabytes of text. Each block sends every
-bucket one row with the distinct 64-bit hashes that fall to it (packed to seven bytes, the
-bucket holds the rest) and what it knows about them; a bucket answers each block with one
-row. So a hash that occurs everywhere costs one entry a block, and neither exchange has a
-key that can grow hot. Blocks and buckets follow ``spark.sql.shuffle.partitions``, so both
-stay small if that setting grows with the input, as Spark asks for anyway.
+"""Questions that blocks of documents ask of hash buckets.
+
+A block is a hash-dealt group of documents, a few megabytes of text; a bucket is a range of
+64-bit hashes. A block asks each bucket in one row about all of its hashes in that range, in
+ascending order, and is answered by one row, a value for each hash. So a hash that occurs
+everywhere costs one entry a block, and no exchange has a key that can grow hot.
+
+Most hashes occur in one block only. So blocks first send *probes* - the bucket and the next
+32 bits of each hash - and buckets tell, a bit each, which of them another block has as well.
+Only those hashes are asked about in full. A probe that agrees by accident costs an entry and
+changes no result; at the size of a bucket one in some two thousand does, whatever the input.
+
+Ascending numbers are sent as steps, byte by byte of all, each byte's column compressed where
+that is shorter. All 64 bits come through, whatever the number of buckets.
 """
 
 from __future__ import annotations
@@ -14,71 +20,107 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.arrow import small_batches
+from barwright.llm.arrow import quoted, small_batches
+
+#: Bytes of text of a block and of a bucket.
+BLOCK_BYTES, BUCKET_BYTES = 5 << 19, 12 << 20
+PROBE_BITS = 32
 
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-BLOCK_BYTES, BUCKET_BYTES = 5 << 19, 12 << 20
+def shares(docs: DataFrame, text: str, *more: Column) -> tuple[int, int, tuple]:
+    """Numbers of blocks and buckets, by the bytes of the texts and enough to busy all tasks; and further aggregates of the same scan."""
+    small_batches(docs)
+    total, *rest = docs.agg(F.sum(F.octet_length(F.col(quoted(text)))), *more).first()
+    total, tasks = total or 0, partitions(docs)
+    return max(1, total // BLOCK_BYTES, min(4 * tasks, total >> 18)), max(1, total // BUCKET_BYTES, min(tasks, total >> 19)), tuple(rest)
 
 
-def shares(docs: DataFrame, text: str) -> tuple[int, int]:
-    """Numbers of blocks and buckets: by the bytes of the texts, and enough of them to busy all tasks."""
-    small_batches(docs)
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    tasks = partitions(docs)
-    return max(1, total // BLOCK_BYTES, min(4 * tasks, total >> 18)), max(1, total // BUCKET_BYTES, min(tasks, total >> 19))
+def in_blocks(docs: DataFrame, id: str, text: str, blocks: int, name: str) -> DataFrame:
+    """``docs`` with a column ``name``, its block, dealt by id and text; equal rows fall together."""
+    return docs.withColumn(name, F.pmod(F.xxhash64(F.col(quoted(id)), F.col(quoted(text))), F.lit(blocks)).cast("int"))
 
 
-def in_blocks(docs: DataFrame, id: str, text: str, blocks: int) -> DataFrame:
-    """``docs`` with a column ``block``, dealt by id and text; equal rows fall together."""
-    return docs.withColumn("block", F.pmod(F.xxhash64(id, text), F.lit(blocks)).cast("int"))
+def lowest(buckets: int) -> np.ndarray:
+    """The smallest hash of each bucket."""
+    return np.array([-(-b * (1 << 32) // buckets) << 32 for b in range(buckets)], dtype=np.uint64)
 
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket by the top byte and a little of the next ones, so that the low 56 bits tell hashes of a bucket apart."""
-    return ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64) if buckets > 256 else ((hashes >> np.uint64(56)) % np.uint64(buckets)).astype(np.int64)
+def by_bucket(ascending: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """Each bucket that has hashes, and where they are among the ascending ones."""
+    edges = np.concatenate([np.searchsorted(ascending, lowest(buckets)), [len(ascending)]])
+    for bucket in np.flatnonzero(np.diff(edges)).tolist():
+        yield bucket, slice(int(edges[bucket]), int(edges[bucket + 1]))
 
 
-def by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each bucket that has hashes, and their places in order."""
-    own = bucket_of(hashes, buckets)
-    order = np.argsort(own, kind="stable")
-    starts = np.flatnonzero(np.diff(own[order], prepend=-1))
-    for places in np.split(order, starts[1:]) if len(order) else ():
-        yield int(own[places[0]]), places
+def probe_shift(buckets: int) -> np.uint64:
+    """How far to shift a hash right for its probe."""
+    return np.uint64(max(0, 64 - PROBE_BITS - (buckets - 1).bit_length()))
 
 
-def pack(hashes: np.ndarray) -> bytes:
-    return np.ascontiguousarray(np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+def probes(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the distinct probes, ascending, of the hashes in it; one that straddles two buckets is in both."""
+    shift = probe_shift(buckets)
+    ascending = distinct(hashes)
+    for bucket, own in by_bucket(ascending, buckets):
+        yield bucket, distinct(ascending[own] >> shift, True)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 7, 8), dtype=np.uint8)
-    wide[:, :7] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 7)
-    return wide.view("<u8").reshape(-1)
+def told_shared(lists: list[np.ndarray]) -> list[bytes]:
+    """For each list of distinct probes, a bit for each: whether another list has it too."""
+    every = np.sort(np.concatenate(lists)) if lists else np.zeros(0, dtype=np.uint64)
+    twice = distinct(every[1:][every[1:] == every[:-1]], True)
+    return [np.packbits(within(x, twice)).tobytes() for x in lists]
 
 
-def pack_sorted(hashes: np.ndarray) -> bytes:
-    """Low 56 bits that ascend, by their steps: five bytes as they are, the two top ones compressed."""
-    low = hashes & np.uint64((1 << 56) - 1)
-    planes = np.ascontiguousarray(np.diff(low, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    top = [bytes(pa.compress(planes[k].tobytes(), codec="zstd", asbytes=True)) for k in (5, 6)]
-    return b"".join([len(low).to_bytes(8, "little"), len(top[0]).to_bytes(8, "little"), planes[:5].tobytes(), *top])
+def shared_hashes(ascending: np.ndarray, buckets: int, told: dict[int, bytes]) -> np.ndarray:
+    """Which of the ascending hashes have a probe that another block has too."""
+    out, shift = np.zeros(len(ascending), dtype=bool), probe_shift(buckets)
+    for bucket, own in by_bucket(ascending, buckets):
+        asked = ascending[own] >> shift
+        first = np.concatenate([[True], asked[1:] != asked[:-1]])
+        bits = np.unpackbits(np.frombuffer(told[bucket], dtype=np.uint8), count=int(first.sum())).astype(bool)
+        out[own] = bits[np.cumsum(first) - 1]
+    return out
+
+
+def distinct(values: np.ndarray, ascending: bool = False) -> np.ndarray:
+    values = values if ascending else np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+def within(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Which values are among the ascending ones."""
+    if not len(ascending):
+        return np.zeros(len(values), dtype=bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending unsigned numbers."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    sizes, parts = [], []
+    for plane in steps.view(np.uint8).reshape(-1, 8).T:
+        raw = plane.tobytes()
+        small = bytes(pa.compress(raw, codec="zstd", asbytes=True)) if raw else raw
+        parts.append(small if len(small) < len(raw) else raw)
+        sizes.append(len(parts[-1]))
+    return np.array([len(values), *sizes], dtype="<i8").tobytes() + b"".join(parts)
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    n, size = (int.from_bytes(data[k : k + 8], "little") for k in (0, 8))
-    planes = np.zeros((8, n), dtype=np.uint8)
-    planes[:5] = np.frombuffer(data, dtype=np.uint8, count=5 * n, offset=16).reshape(5, n)
-    at = 16 + 5 * n
-    for k, part in ((5, data[at : at + size]), (6, data[at + size :])):
-        planes[k] = np.frombuffer(pa.decompress(part, decompressed_size=n, codec="zstd", asbytes=True), dtype=np.uint8)
+    n, *sizes = np.frombuffer(data, dtype="<i8", count=9).tolist()
+    planes, at = np.zeros((8, n), dtype=np.uint8), 72
+    for k, size in enumerate(sizes):
+        part = data[at : at + size]
+        planes[k] = np.frombuffer(part if size == n else pa.decompress(part, decompressed_size=n, codec="zstd", asbytes=True), dtype=np.uint8)
+        at += size
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
@@ -103,12 +145,7 @@ def unsqueeze(data: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype=kind).astype(np.int64)
 
 
-def groups(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts the hashes, and the places in it where each distinct one starts."""
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    return order, np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(hashes) else order
-
-
-def blobs(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
-    return column.to_pylist()
+def tell(table: pa.Table, schema: pa.Schema, block: str) -> pa.Table:
+    """A bucket's answer to all probes sent to it."""
+    lists = [unpack_sorted(x) for x in table.column("probes").to_pylist()]
+    return pa.table({block: table.column(block), "bucket": table.column("bucket"), "bits": told_shared(lists)}, schema=schema)

@@ -82,6 +82,11 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray, piece: int = 1 << 20) ->
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
+def second_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same words; windows of them collide independently."""
+    return mix(hashes ^ np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """Rolling Rabin-Karp hashes of ``width`` consecutive values, one for each start."""
     n = len(hashes) - width + 1
