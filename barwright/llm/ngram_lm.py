@@ -1,13 +1,15 @@
 """Stupid-backoff scores of documents under n-gram counts of the whole corpus.
 
-Counting and scoring are one relational round, or two beyond bigrams: blocks of documents send their distinct
-n-grams of every order, with counts, to hash buckets - the count tables, partitioned by
-hash - which sum them over the corpus and send each block what others hold of its own n-grams.
-Inside its block each document joins its n-grams to these totals and sums their scores.
+The relations are those of the textbook plan: n-grams of all orders exploded from documents,
+a count table of them partitioned by hash, the two joined, and scores summed by document. On
+the way a row holds many n-grams: those of one block of documents in one range of hashes (see
+``blocks``), which takes a quarter of the bytes of a row for each. Blocks ask only for n-grams
+that other blocks have too - the others' counts are the block's own - so nothing is pruned.
 
-A longer n-gram occurs in another block only if all bigrams in it do. So beyond bigrams the
-buckets first tell each block, by a bit each, which of its bigrams others hold; the block then
-asks only for the n-grams made of those, and holds all occurrences of the others itself.
+1. Blocks send probes of their distinct n-grams, buckets tell which are shared.
+2. Blocks send their shared n-grams with counts. A bucket sums these over the corpus - the
+   count table of its range of hashes - and joins the sums back to the blocks' n-grams.
+3. In its block each document joins its n-grams to their counts and sums its score.
 
 With ``held_out`` a document's own occurrences are taken off all counts first, so that it is
 scored by the rest of the corpus and back-off takes place; else every n-gram of the corpus
@@ -17,15 +19,16 @@ S(w | h) = count(h w) / count(h) where both are over 0, else ``backoff`` * S(w |
 for single words count(w) / N, and 1 / N where the word is new (N: all words of the corpus,
 less the document's own with ``held_out``, at least 1).
 
+N-grams are told apart by 64-bit hashes: among n different ones n * n / 2**65 pairs are
+expected to share counts, one n-gram in some four million at 10**13.
+
 Defined results: null, blank and empty texts have 0 words, log_score 0 and a null per_word
-score; rows may repeat and share ids; an empty table gives an empty table; an input column
-named like an output column is replaced.
+score; rows may repeat and share ids; an empty table gives an empty table; other columns stay,
+but one named like an output column, in any case, is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,20 +36,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from barwright.llm.arrow import utf8
-from barwright.llm.blocks import blobs, by_bucket, groups, in_blocks, pack_sorted, shares, squeeze, unpack_sorted, unsqueeze
+from barwright.llm.arrow import numbered, quoted, utf8
+from barwright.llm.blocks import by_bucket, in_blocks, pack_sorted, probes, shared_hashes, shares, squeeze, tell, unpack_sorted, unsqueeze
 from barwright.llm.words import hashed_words, mix, window_hashes, word_count
 
 
-#: Orders of the first round.
-SHORT = 2
-
-
 class _Block:
-    """A block's n-grams: for each order the word number each ends at, and its place among the distinct ones of all orders."""
+    """A block's n-grams of all orders: hashes, the word number each ends at, and the document of each."""
 
-    def __init__(self, table: pa.Table, text: str, order: int) -> None:
-        data, offsets = utf8(table.column(text))
+    def __init__(self, texts: pa.ChunkedArray, order: int) -> None:
+        data, offsets = utf8(texts)
         words, _, _, self.words = hashed_words(data, offsets)
         self.owner = np.repeat(np.arange(len(offsets) - 1), np.diff(self.words))
         self.ends: list[np.ndarray] = []
@@ -56,121 +55,85 @@ class _Block:
             ends = ends[self.owner[ends] == self.owner[ends - n + 1]] if len(ends) else ends
             found.append(mix(window_hashes(words, n)[ends - n + 1] + np.uint64(n)))
             self.ends.append(ends)
-        flat = np.concatenate(found)
-        ranks, first = groups(flat)
-        self.distinct = flat[ranks[first]]
-        sizes = np.diff(np.concatenate([first, [len(flat)]])) if len(flat) else np.zeros(0, dtype=np.int64)
-        self.counts = sizes
-        which = np.empty(len(flat), dtype=np.int64)
-        which[ranks] = np.repeat(np.arange(len(first)), sizes)
-        self.which = np.split(which, np.cumsum([len(e) for e in self.ends])[:-1])
-        #: Distinct n-grams of the first round.
-        self.first = np.zeros(len(self.distinct), dtype=bool)
-        for w in self.which[:SHORT]:
-            self.first[w] = True
-
-    def dealt(self, asked: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Each bucket with the places among the distinct n-grams of those ``asked``, by the bits that are sent."""
-        places = np.flatnonzero(asked)
-        for bucket, own in by_bucket(self.distinct[places], buckets):
-            own = places[own]
-            yield bucket, own[np.argsort(self.distinct[own] << np.uint64(8), kind="stable")]
-
-    def second(self, shared: np.ndarray) -> np.ndarray:
-        """Distinct longer n-grams of which all bigrams are ``shared`` with other blocks."""
-        asked = np.zeros(len(self.distinct), dtype=bool)
-        whole = shared[self.which[1]] if len(self.which) > SHORT else None
-        for n in range(SHORT, len(self.which)):
-            # an n-gram is the shorter one that ends with it and the one that ends a word before
-            at = np.searchsorted(self.ends[n - 1], self.ends[n])
-            before = np.searchsorted(self.ends[n - 1], self.ends[n] - 1)
-            whole = whole[at] & whole[before]
-            asked[self.which[n][whole]] = True
-        return asked & ~self.first
-
-
-def stupid_backoff(docs: DataFrame, text: str = "text", order: int = 2, backoff: float = 0.4, held_out: bool = True, id: str = "doc_id") -> DataFrame:
-    """``docs`` with n_words, n_backed_off, log_score (sum of natural logs) and per_word (its mean)."""
-    made = T.StructType.fromDDL("n_words bigint, n_backed_off bigint, log_score double, per_word double")
+        self.hashes = np.concatenate(found)
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes, ascending, and how often the block has each."""
+        return np.unique(self.hashes, return_counts=True)
+
+
+def stupid_backoff(docs: DataFrame, text: str = "text", order: int = 3, backoff: float = 0.4, held_out: bool = True, id: str = "doc_id", buckets: int | None = None) -> DataFrame:
+    """``docs`` with n_words, n_backed_off, log_score (sum of natural logs) and per_word (its mean).
+
+    ``buckets`` is worked out from the bytes of the texts unless it is given.
+    """
+    made = T.StructType([T.StructField(n, T.DoubleType() if n in ("log_score", "per_word") else T.LongType()) for n in ("n_words", "n_backed_off", "log_score", "per_word")])
     names = {f.name for f in made.fields}
-    total = docs.agg(F.sum(word_count(F.col(text)))).first()[0] or 0
-    blocks, buckets = shares(docs, text)
-    rows = in_blocks(docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in names]), id, text, blocks)
-
-    def ask(block: _Block, table: pa.Table, asked: np.ndarray) -> pa.Table:
-        out: dict[str, list] = {"bucket": [], "block": [], "grams": [], "counts": []}
-        number = table.column("block")[0].as_py()
-        for bucket, places in block.dealt(asked, buckets):
-            for key, value in zip(out, (bucket, number, pack_sorted(block.distinct[places]), squeeze(block.counts[places], True)), strict=True):
-                out[key].append(value)
+    blocks, by_bytes, (total,) = shares(docs, text, F.sum(word_count(F.col(quoted(text)))))
+    total, buckets = total or 0, buckets or by_bytes
+    kept = [c for c in docs.columns if c.lower() not in names]
+    base, safe = numbered(docs, kept)
+    id, text, where = safe[id], safe[text], "block"
+    rows = in_blocks(base, id, text, blocks, where)
+
+    def probe(table: pa.Table) -> pa.Table:
+        number = table.column(where)[0].as_py()
+        out = [(bucket, number, pack_sorted(own)) for bucket, own in probes(_Block(table.column(text), order).hashes, buckets)]
+        return pa.Table.from_pydict(dict(zip(probed.names, zip(*out), strict=True)) if out else {n: [] for n in probed.names}, schema=probed)
+
+    def answered_probes(table: pa.Table) -> pa.Table:
+        return tell(table, told, where)
+
+    def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
+        out: dict[str, list] = {n: [] for n in questions.names}
+        if table.num_rows:
+            grams, counts = _Block(table.column(text), order).counted()
+            asked = shared_hashes(grams, buckets, dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True)))
+            grams, counts, number = grams[asked], counts[asked], table.column(where)[0].as_py()
+            for bucket, own in by_bucket(grams, buckets):
+                for key, value in zip(out, (bucket, number, pack_sorted(grams[own]), squeeze(counts[own], True)), strict=True):
+                    out[key].append(value)
         return pa.table(out, schema=questions)
 
-    def ask_short(table: pa.Table) -> pa.Table:
-        block = _Block(table, text, min(order, SHORT))
-        return ask(block, table, block.first)
-
-    def ask_long(table: pa.Table, told: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return questions.empty_table()
-        block = _Block(table, text, order)
-        shared = np.zeros(len(block.distinct), dtype=bool)
-        held = dict(zip(told.column("bucket").to_pylist(), blobs(told.column("bits")), strict=True))
-        for bucket, places in block.dealt(block.first, buckets):
-            shared[places] = np.unpackbits(np.frombuffer(held[bucket], dtype=np.uint8), count=len(places))
-        return ask(block, table, block.second(shared))
-
-    def summed(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Each row's counts and the corpus's."""
-        if not table.num_rows:
-            return [], []
-        each = [unpack_sorted(x) for x in blobs(table.column("grams"))]
-        own = [unsqueeze(x) for x in blobs(table.column("counts"))]
-        counts = np.concatenate(own)
-        ranks, first = groups(np.concatenate(each))
-        sizes = np.diff(np.concatenate([first, [len(ranks)]]))
-        totals = np.empty(len(counts), dtype=np.int64)
-        totals[ranks] = np.repeat(np.add.reduceat(counts[ranks], first), sizes)
-        return own, np.split(totals, np.cumsum([len(x) for x in each])[:-1])
-
-    def tell(table: pa.Table) -> pa.Table:
-        bits = [np.packbits(every > own).tobytes() for own, every in zip(*summed(table), strict=True)]
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": bits}, schema=told)
-
-    def answer(table: pa.Table, long: bool = False) -> pa.Table:
-        totals = [squeeze(every - own, True) for own, every in zip(*summed(table), strict=True)]
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "long": [long] * len(totals), "totals": totals}, schema=answered)
-
-    def answer_both(short: pa.Table, long: pa.Table) -> pa.Table:
-        return pa.concat_tables([answer(short), answer(long, True)])
-
-    def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return out_schema.empty_table()
-        block = _Block(table, text, order)
-        totals = block.counts.copy()
-        held = {(k, b): x for k, b, x in zip(answers.column("long").to_pylist(), answers.column("bucket").to_pylist(), blobs(answers.column("totals")), strict=True)}
-        for bucket, places in block.dealt(block.first, buckets):
-            totals[places] += unsqueeze(held[False, bucket])
-        for bucket, places in block.dealt(block.second(totals > block.counts), buckets):
-            totals[places] += unsqueeze(held[True, bucket])
-        n_words = np.diff(block.words)
-        counts = []
-        for which, ends in zip(block.which, block.ends, strict=True):
-            found = totals[which]
-            if held_out and len(which):
-                ranks, first = groups((block.owner[ends] * len(totals) + which).astype(np.uint64))
-                sizes = np.diff(np.concatenate([first, [len(ranks)]]))
-                found[ranks] -= np.repeat(sizes, sizes)
-            counts.append(found)
+    def count(table: pa.Table) -> pa.Table:
+        """A bucket's count table, joined back: what other blocks hold of each block's n-grams."""
+        grams = [unpack_sorted(x) for x in table.column("grams").to_pylist()]
+        own = np.concatenate([unsqueeze(x) for x in table.column("counts").to_pylist()])
+        _, which = np.unique(np.concatenate(grams), return_inverse=True)
+        elsewhere = np.bincount(which, weights=own).astype(np.int64)[which] - own
+        parts = np.split(elsewhere, np.cumsum([len(x) for x in grams])[:-1])
+        return pa.table({where: table.column(where), "bucket": table.column("bucket"), "counts": [squeeze(x, True) for x in parts]}, schema=answered)
+
+    def score(table: pa.Table, bits: pa.Table, answers: pa.Table) -> pa.Table:
+        block = _Block(table.column(text), order)
+        # equal hashes are in order of place, so those of one document are neighbours
+        owner = np.concatenate([block.owner[ends] for ends in block.ends])
+        ranks = np.argsort(block.hashes, kind="stable")
+        ranked, owned = block.hashes[ranks], owner[ranks]
+        fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])[: len(ranked)]
+        grams, which = ranked[fresh], np.cumsum(fresh) - 1
+        counts = np.bincount(which, minlength=len(grams)).astype(np.int64)
+        asked = np.flatnonzero(shared_hashes(grams, buckets, dict(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True))))
+        held = dict(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist(), strict=True))
+        for bucket, own in by_bucket(grams[asked], buckets):
+            counts[asked[own]] += unsqueeze(held[bucket])
+        found = counts[which]
+        if held_out and len(found):
+            starts = np.flatnonzero(fresh | np.concatenate([[True], owned[1:] != owned[:-1]]))
+            sizes = np.diff(np.concatenate([starts, [len(found)]]))
+            found -= np.repeat(sizes, sizes)
+        each = np.empty(len(found), dtype=np.int64)
+        each[ranks] = found
+        each = np.split(each, np.cumsum([len(e) for e in block.ends])[:-1])
         # from single words up, the longest order with a count wins
+        n_words = np.diff(block.words)
         everything = np.maximum(total - (n_words if held_out else 0 * n_words), 1)[block.owner].astype(np.float64)
-        logs = np.log(np.maximum(counts[0], 1)) - np.log(everything)
+        logs = np.log(np.maximum(each[0], 1)) - np.log(everything)
         depth = np.minimum(np.arange(len(block.owner)) - block.words[:-1][block.owner], order - 1)
         level = np.zeros(len(block.owner), dtype=np.int64)
         for n in range(1, order):
             ends = block.ends[n]
-            at = np.searchsorted(block.ends[n - 1], ends - 1)
-            context, full = counts[n - 1][at], counts[n]
+            context, full = each[n - 1][np.searchsorted(block.ends[n - 1], ends - 1)], each[n]
             hit = (full > 0) & (context > 0)
             logs[ends[hit]] = np.log(full[hit]) - np.log(context[hit])
             level[ends[hit]] = n
@@ -178,20 +141,23 @@ def stupid_backoff(docs: DataFrame, text: str = "text", order: int = 2, backoff:
         sums = np.bincount(block.owner, weights=logs, minlength=len(n_words))
         backed = np.bincount(block.owner, weights=(depth > level), minlength=len(n_words)).astype(np.int64)
         mean = pa.array(np.divide(sums, n_words, out=np.zeros(len(sums)), where=n_words > 0), mask=n_words == 0)
-        base = table.drop_columns(["block"])
-        return pa.table([*base.columns, pa.array(n_words), pa.array(backed), pa.array(sums), mean], names=[*base.column_names, *(f.name for f in made.fields)]).cast(out_schema)
+        base = table.drop_columns([where])
+        return pa.table([*base.columns, pa.array(n_words), pa.array(backed), pa.array(sums), mean], names=out_schema.names).cast(out_schema)
 
-    questions = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
-    told = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
-    answered = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("long", pa.bool_()), ("totals", pa.binary())])
-    out_type = T.StructType([f for f in rows.schema.fields if f.name != "block"] + made.fields)
+    def scored(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return out_schema.empty_table()
+        is_bits = answers.column("bits").is_valid()
+        return score(table, answers.filter(is_bits), answers.filter(answers.column("counts").is_valid()))
+
+    probed = pa.schema([("bucket", pa.int32()), (where, pa.int32()), ("probes", pa.binary())])
+    told = pa.schema([(where, pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
+    questions = pa.schema([("bucket", pa.int32()), (where, pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+    answered = pa.schema([(where, pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary())])
+    out_type = T.StructType([f for f in rows.schema.fields if f.name != where] + made.fields)
     out_schema = to_arrow_schema(out_type)
-    asked_type, answer_type = "bucket int, block int, grams binary, counts binary", "block int, bucket int, long boolean, totals binary"
-    short = rows.groupBy("block").applyInArrow(ask_short, asked_type)
-    if order > SHORT:
-        bits = short.groupBy("bucket").applyInArrow(tell, "block int, bucket int, bits binary")
-        long = rows.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(ask_long, asked_type)
-        answers = short.groupBy("bucket").cogroup(long.groupBy("bucket")).applyInArrow(answer_both, answer_type)
-    else:
-        answers = short.groupBy("bucket").applyInArrow(lambda table: answer(table), answer_type)
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, out_type)
+    bits = rows.groupBy(where).applyInArrow(probe, f"bucket int, {where} int, probes binary").groupBy("bucket").applyInArrow(answered_probes, f"{where} int, bucket int, bits binary")
+    asked = rows.groupBy(where).cogroup(bits.groupBy(where)).applyInArrow(ask, f"bucket int, {where} int, grams binary, counts binary")
+    counts = asked.groupBy("bucket").applyInArrow(count, f"{where} int, bucket int, counts binary")
+    answers = bits.unionByName(counts, allowMissingColumns=True)
+    return rows.groupBy(where).cogroup(answers.groupBy(where)).applyInArrow(scored, out_type).toDF(*kept, *made.names)
