@@ -13,6 +13,14 @@
 
 At the defaults a pair of similarity 0.8 shares no band with a chance of 3e-5.
 
+Groups of bands are bucketed by their bytes. A band of more than ``hot_rows`` texts, or of more
+than one in 2,500 of all where that is more, is dealt as pairs of parts, each pair a group of its own; such
+bands are found in a sample of one text in ``sample``, and by their definition they are at
+most 50,000 or so, which is what goes to the driver and back. A band that the sample
+misjudges is only a larger or a smaller group. Tiles grow with their component, from ``tile``
+to ``TILE`` texts, so a text is sent out at most 64 times up to 130,000 texts of a component,
+and once for each 2,048 beyond; that all its pairs are compared is what counting its links takes.
+
 Defined results: texts without words take no part (own class, no links), nor do null ids
 (null class); texts with fewer words than ``width`` have one n-gram, all their words; rows
 with equal words are copies and linked to each other; repeated ids count as rows; ties go to
@@ -29,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.arrow import chunks, small_batches, utf8
+from barwright.llm.arrow import chunks, quoted, small_batches, utf8
 from barwright.llm.blocks import by_bucket, partitions
 from barwright.llm.components import components
 from barwright.llm.words import hashed_words, mix, powers, window_hashes, window_starts
 from barwright.session import cut
 
 _STEP = 16
+#: Bytes of bands that a task holds at a time, and the largest tile of a component.
+BUCKET_BYTES, TILE = 12 << 20, 2048
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,12 +145,39 @@ def spanning(sig: np.ndarray, least: list[int]) -> np.ndarray:
     return leader
 
 
-def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 4, tolerance: float = 1e-6, tile: int = 128) -> DataFrame:
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A hash of each band of each signature."""
+    parts = sig.astype(np.uint64).reshape(len(sig), bands, rows)
+    keys = np.zeros((len(sig), bands), dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+    for r in range(rows):
+        keys = mix(keys + parts[:, :, r])
+    return keys
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray, hashes: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, hashes)
+
+
+def split_hot(keys: np.ndarray, owner: np.ndarray, nodes: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and owners with those of hot bands dealt: a text is in one of the band's parts, and goes to that part's pair with each."""
+    if not len(hot) or not len(keys):
+        return keys, owner
+    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+    is_hot = hot[at] == keys
+    n = parts[at[is_hot]]
+    own = (mix(nodes[owner[is_hot]].view(np.uint64) ^ keys[is_hot]) % n.astype(np.uint64)).astype(np.int64)
+    other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    own = np.repeat(own, n)
+    pair = (np.minimum(own, other) << 32 | np.maximum(own, other)).astype(np.uint64)
+    dealt = mix(np.repeat(keys[is_hot], n) ^ mix(pair + np.uint64(1)))
+    return np.concatenate([keys[~is_hot], dealt]), np.concatenate([owner[~is_hot], np.repeat(owner[is_hot], n)])
+
+
+def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 20, rows: int = 4, tolerance: float = 1e-6, tile: int = 128, hot_rows: int = 8192, sample: int = 64) -> DataFrame:
     """(id, class_id, n_links): each row's class, named by its smallest id, and how many other rows are similar to it."""
     small_batches(docs)
     hashes = bands * rows
     least = least_matches(threshold, tolerance, hashes)
-    buckets = partitions(docs)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text):
@@ -150,21 +187,23 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
             packed = pa.array([s.tobytes() for s in sig], type=pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(id).cast(pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(solid), packed], names=[id, "one", "two", "solid", "sig"])
 
+    def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(band_keys(unpacked(batch.column("sig"), hashes), bands, rows).reshape(-1).view(np.int64))], names=["key"])
+
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(batch.num_rows, hashes)
+            sig = unpacked(batch.column("sig"), hashes)
             nodes = np.asarray(batch.column("node"))
-            parts = sig.astype(np.uint64).reshape(len(sig), bands, rows)
-            keys = np.zeros((len(sig), bands), dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
-            for r in range(rows):
-                keys = mix(keys + parts[:, :, r])
-            flat, low = keys.reshape(-1), sig.astype(np.uint8)
+            flat, own = split_hot(band_keys(sig, bands, rows).reshape(-1), np.repeat(np.arange(len(sig)), bands), nodes, hot, parts)
+            order = np.argsort(flat, kind="stable")
+            flat, own, low = flat[order], own[order], sig.astype(np.uint8)
             out: dict[str, list] = {"bucket": [], "keys": [], "nodes": [], "low": []}
             for bucket, places in by_bucket(flat, buckets):
-                own = places // bands
-                for name, value in zip(out, (bucket, flat[places].tobytes(), nodes[own].tobytes(), low[own].tobytes()), strict=True):
+                for name, value in zip(out, (bucket, flat[places].tobytes(), nodes[own[places]].tobytes(), low[own[places]].tobytes()), strict=True):
                     out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, schema=banded)
 
@@ -211,7 +250,7 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         x, y = survivors(low[left], low[right], least)
         x, y = left[x], right[y]
         x, y = (x[x < y], y[x < y]) if i == j else (x, y)
-        shared = _shared(flat, np.repeat(np.arange(len(sets)), sizes), len(sets))[x, y] if len(x) else np.zeros(0)
+        shared = _shared(flat, np.repeat(np.arange(len(sets)), sizes), len(sets), left, right)[np.searchsorted(left, x), np.searchsorted(right, y)] if len(x) else np.zeros(0)
         good = shared >= threshold * (sizes[x] + sizes[y] - shared) - 1e-9
         x, y = x[good], y[good]
         links = np.bincount(x, weights=copies[y], minlength=len(nodes)) + np.bincount(y, weights=copies[x], minlength=len(nodes))
@@ -221,18 +260,29 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     banded = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("low", pa.binary())])
     paired = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     checked = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("split", pa.bool_())])
-    named = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias(id), text)
+    docs = docs.select(F.col(quoted(id)).cast("long").alias(id), F.col(quoted(text)).alias(text))
+    named = docs.where(F.col(quoted(id)).isNotNull())
     signed = cut(named.mapInArrow(sign, f"{id} long, one long, two long, solid boolean, sig binary"))
+    # sizes of what follows, and the bands that many texts share
+    n_texts = signed.where("solid").agg(F.count("*")).first()[0]
+    buckets = max(1, n_texts * bands * (hashes + 16) // BUCKET_BYTES, min(partitions(docs), n_texts * bands // 10_000))
+    most = max(hot_rows, n_texts // 2500)
+    sampled = signed.where(F.col("solid") & (F.pmod(F.xxhash64("one"), F.lit(sample)) == 0)).select("one", "two", "sig").dropDuplicates(["one", "two"])
+    crowded = sampled.select("sig").mapInArrow(keys_only, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * sample > most).collect()
+    crowded = sorted((r["key"] & (1 << 64) - 1, -(-r["n"] * sample // most) + 1) for r in crowded)
+    hot, parts = np.array([k for k, _ in crowded], dtype=np.uint64), np.array([n for _, n in crowded], dtype=np.int64)
     texts = signed.where("solid").groupBy(F.col("one").alias("node"), "two").agg(F.min(id).alias("lead"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     edges = texts.select("node", "sig").mapInArrow(band, "bucket int, keys binary, nodes binary, low binary").groupBy("bucket").applyInArrow(pair, "a long, b long")
     found = components(edges)
     # texts of each component, in tiles
     leads = signed.where("solid").groupBy(F.col("one").alias("node")).agg(F.min(id).alias("lead"), F.count("*").alias("copies"))
     # sizes and names are written: their joins are then plain exchanges, which Spark splits where a component is hot
-    sizes = cut(found.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")))
+    m = F.count("*")
+    tiles = F.greatest(F.least(F.ceil(m / tile), F.lit(64)), F.ceil(m / TILE)).cast("int")
+    sizes = cut(found.groupBy("root").agg(tiles.alias("tiles")))
     members = found.join(sizes, "root").join(leads, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     spread = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("tile")).alias("i"), F.greatest(k, F.col("tile")).alias("j")))
-    work = members.join(named, members["lead"] == named[id]).select("root", "tiles", "tile", "node", "copies", text, F.explode(spread).alias("ij")).select("root", "tiles", "tile", "node", "copies", text, "ij.i", "ij.j")
+    work = members.join(named.select(F.col(quoted(id)).alias("lead"), F.col(quoted(text)).alias(text)), "lead").select("root", "tiles", "tile", "node", "copies", quoted(text), F.explode(spread).alias("ij")).select("root", "tiles", "tile", "node", "copies", quoted(text), "ij.i", "ij.j")
     verified = cut(work.groupBy("root", "i", "j").applyInArrow(verify, "node long, links long, root long, split boolean"))
     # a component in one tile is done; tiles of a larger one are put together
     joined = components(verified.where("split").select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -243,14 +293,16 @@ def jaccard_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     info = info.join(names, "class").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     with_words = signed.where("solid").select(id, F.col("one").alias("node")).join(info, "node").select(id, "class_id", "n_links")
     alone = signed.where("not solid").select(id, F.col(id).alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    nameless = docs.where(F.col(id).isNull()).select(F.col(id).cast("long").alias(id), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    nameless = docs.where(F.col(quoted(id)).isNull()).select(quoted(id), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return with_words.unionByName(alone).unionByName(nameless)
 
 
-def _shared(grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """How many n-grams each two texts share: products of incidence columns, a few thousand n-grams at a time."""
+def _shared(grams: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray | None = None, right: np.ndarray | None = None) -> np.ndarray:
+    """How many n-grams each left text shares with each right one, all of ``n`` by default: products of incidence columns, a few thousand n-grams at a time."""
+    left, right = (np.arange(n) if side is None else side for side in (left, right))
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
     if not len(grams):
-        return np.zeros((n, n))
+        return out
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
     first = np.concatenate([[True], grams[1:] != grams[:-1]])
@@ -258,13 +310,12 @@ def _shared(grams: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     common = np.bincount(which)[which] > 1
     which, owner = which[common], owner[common]
     which = np.cumsum(np.concatenate([[False], which[1:] != which[:-1]])) if len(which) else which
-    out = np.zeros((n, n), dtype=np.float64)
     width = max(1, (1 << 21) // n)
     for low in range(0, int(which[-1]) + 1 if len(which) else 0, width):
         a, b = np.searchsorted(which, [low, low + width])
         part = np.zeros((n, min(width, int(which[b - 1]) - low + 1)), dtype=np.float32)
         part[owner[a:b], which[a:b] - low] = 1
-        out += part @ part.T
+        out += part[left] @ part[right].T
     return out
 
 
