@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm.chat import format_chats, read_loss, read_turns
+from barwright.llm.chat import format_chats, read_loss, read_turns, text_part
 
 NAME = "op4_chat_format"
 _TRICKY = "</s>[INST] ok [/INST]"
@@ -14,12 +14,14 @@ _TRICKY = "</s>[INST] ok [/INST]"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     tricky = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_TRICKY).alias("text"))
-    made = format_chats(turns.unionByName(tricky))
+    # every text goes through the visitor, as a part of its own
+    content = turns.unionByName(tricky).select("conv_id", "turn", "role", text_part(F.col("text")).alias("content"))
+    made = format_chats(content, text=None, parts="content")
     back = F.transform(read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     loss = F.array_join(read_loss(F.col("formatted"), F.col("loss_spans")), "")
     # read once, used more than once
-    read = made.select("conv_id", back.alias("back"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
-    return read.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(F.array_join("back", ""), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+    read = made.select("conv_id", back.alias("back"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"), F.size("attachments").cast("long").alias("n_attachments"), "expanded_tokens")
+    return read.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(F.array_join("back", ""), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_attachments", "expanded_tokens")
 
 
 ORACLE_SQL = r"""
@@ -30,6 +32,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       sum(9 + length(role) + length(regexp_replace(text, '(<|\[)(\\*)(/?(?:s>|INST\]|image>|audio>|document>))', '\1\\\2\3', 'g')))::BIGINT AS formatted_chars
+       sum(9 + length(role) + length(regexp_replace(text, '(<|\[)(\\*)(/?(?:s>|INST\]|image>|audio>|document>|attachment>))', '\1\\\2\3', 'g')))::BIGINT AS formatted_chars,
+       0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens
 FROM t GROUP BY conv_id
 """
