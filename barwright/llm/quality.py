@@ -2,13 +2,13 @@
 
 Statistics are SQL expressions on the whole text. Rules are learned by sequential covering:
 on two thirds of a bounded labelled sample a conjunction of thresholds grows by FOIL gain
-until it covers bad texts only, on the other third it is pruned, and it is accepted while it
-stays precise there; what it covers is set aside and the next one grows. The list becomes one
+until it covers bad texts only, on the other third it is pruned, and it is accepted only if it
+is precise there; what it covers is set aside and the next one grows. The list becomes one
 ordered conditional expression.
 
 Defined results: null, blank and empty texts have 0 in all statistics; rows may repeat; an
-empty table, or one without labels, gives no rules, and no text is rejected by a rule; an
-input column named like an output column is replaced.
+empty table, or one without labels, gives no rules, and no text is rejected by a rule; other
+columns stay, but one named like an output column, in any case, is replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barwright.llm.arrow import quoted
 from barwright.llm.words import SPACES, word_array
 
 SYMBOLS = "#*$%&|<>"
@@ -29,10 +30,12 @@ FEATURES = ("word_length", "symbol_rate", "bar_rate", "dup_line_rate", "repeat_r
 def with_statistics(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with the columns BASE (long) and FEATURES (double)."""
     made = {*BASE, *FEATURES}
-    body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() not in made])
+    kept = [c for c in docs.columns if c.lower() not in made and (keep_text or c != text)]
+    # other columns travel as one, beside which names can't clash
+    base = docs.select(F.struct(F.lit(0).alias("0"), *[F.col(quoted(c)).alias(f"c{n}") for n, c in enumerate(kept)]).alias("q_row"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("q_text"))
+    body = F.col("q_text")
     # arrays used more than once are columns of a step of their own, so each is made once
-    rows = base.withColumns({"q_text": body, "q_words": word_array(body), "q_lines": F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")})
+    rows = base.withColumns({"q_words": word_array(body), "q_lines": F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")})
     windows = F.when(F.size("q_words") < 3, F.array().cast("array<struct<h:bigint,p:int>>")).otherwise(F.transform(F.slice("q_words", F.lit(1), F.greatest(F.size("q_words") - 2, F.lit(1))), lambda w, i: F.struct(F.xxhash64(w, F.get(F.col("q_words"), i + 1), F.get(F.col("q_words"), i + 2)).alias("h"), i.alias("p"))))
     rows = rows.withColumn("q_sorted", F.sort_array(windows))
     # neighbours in hash order that are equal: both windows repeat
@@ -70,7 +73,7 @@ def with_statistics(docs: DataFrame, text: str = "text", keep_text: bool = True)
     })
     # always true, but not to the optimizer: it must not move a caller's filter below, where each use would make the arrays again
     here = F.spark_partition_id() >= 0
-    return rows.select(*[f"`{c}`" for c in base.columns if keep_text or c != text], *(F.when(here, F.col(c)).alias(c) for c in (*BASE, *FEATURES)))
+    return rows.select(*[F.col("q_row").getField(f"c{n}").alias(c) for n, c in enumerate(kept)], *(F.when(here, F.col(c)).alias(c) for c in (*BASE, *FEATURES)))
 
 
 def base_failed() -> Column:
@@ -109,6 +112,13 @@ class DecisionList:
             chain = F.when(holds, n) if chain is None else chain.when(holds, n)
         return F.lit(0) if chain is None else chain.otherwise(0)
 
+    def covers(self, x: np.ndarray) -> np.ndarray:
+        """The first rule that holds on each row of FEATURES, as ``rule_number`` has it."""
+        out = np.zeros(len(x), dtype=np.int64)
+        for n, rule in enumerate(self.rules, 1):
+            out[(out == 0) & _covers(x, rule)] = n
+        return out
+
     def __str__(self) -> str:
         return "\n".join(f"{n}. reject if {' and '.join(map(str, r))}" for n, r in enumerate(self.rules, 1)) or "keep all"
 
@@ -157,7 +167,7 @@ def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
 
 
 def learn_rules(x: np.ndarray, bad: np.ndarray, precision: float = 0.95, least: int = 3, most_rules: int = 12, most_conditions: int = 4) -> DecisionList:
-    """Sequential covering; a rule counts if it covers ``least`` bad rows of both parts with ``precision``."""
+    """Sequential covering on two thirds; a rule counts if on the other third it covers a bad row or more, with ``precision``, and ``least`` bad rows of all."""
     third = np.arange(len(x)) % 3 == 2
     left, rules = np.ones(len(x), dtype=bool), []
     while len(rules) < most_rules and bad[left & ~third].sum() >= least:
@@ -166,7 +176,8 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, precision: float = 0.95, least:
             break
         rule = _prune(grown, x[left & third], bad[left & third]) if bad[left & third].any() else grown
         hit = _covers(x, rule) & left
-        if (hit & bad).sum() < least or (hit & bad).sum() < precision * hit.sum():
+        held = hit & third  # rows that neither grew nor chose it by themselves
+        if (hit & bad).sum() < least or not (held & bad).any() or (held & bad).sum() < precision * held.sum():
             break
         rules.append(rule)
         left &= ~hit
@@ -175,10 +186,10 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, precision: float = 0.95, least:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", quality: str = "quality", sample_rows: int = 4000) -> DecisionList:
     """Rules learned from at most ``sample_rows`` labelled rows, those whose id hashes lowest."""
-    chosen = labels.where(F.col(id).isNotNull() & F.col(quality).isNotNull()).groupBy(id).agg(F.min(quality).alias("q_label"))
-    chosen = chosen.orderBy(F.xxhash64(id), id).limit(sample_rows)
-    rows = with_statistics(docs.select(id, text).join(F.broadcast(chosen), id), text, keep_text=False)
-    found = rows.orderBy(F.xxhash64(id), id, *FEATURES).limit(2 * sample_rows).select(*FEATURES, "q_label", *BASE).collect()
+    chosen = labels.select(F.col(quoted(id)).alias("q_id"), F.col(quoted(quality)).alias("q_quality")).where("q_id IS NOT NULL AND q_quality IS NOT NULL").groupBy("q_id").agg(F.min("q_quality").alias("q_label"))
+    chosen = chosen.orderBy(F.xxhash64("q_id"), "q_id").limit(sample_rows)
+    rows = with_statistics(docs.select(F.col(quoted(id)).alias("q_id"), F.col(quoted(text)).alias("q_body")).join(F.broadcast(chosen), "q_id"), "q_body", keep_text=False)
+    found = rows.orderBy(F.xxhash64("q_id"), "q_id", *FEATURES).limit(2 * sample_rows).select(*FEATURES, "q_label", *BASE).collect()
     # the base rules reject these already
     found = [r for r in found if r["n_words"] >= 50 and 2 * r["n_repeat_words"] <= r["n_words"]]
     x = np.array([[r[f] for f in FEATURES] for r in found], dtype=float).reshape(len(found), len(FEATURES))
