@@ -19,6 +19,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -32,6 +33,8 @@ from barwright.llm.arrow import add_columns
 #: Words kept in a worker's cache; beyond it only those of the batch at hand stay.
 CACHED_WORDS = 300_000
 _NEVER = np.int64(1 << 40)
+#: Bytes from which a word is merged by itself; rounds over all words are as many as the longest one's merges.
+LONG_WORD = 128
 
 #: Letters, digits and white space below U+0250, where Python's faster ``re`` agrees with the file's pattern.
 _LETTERS = "a-zA-Zªµºß-öø-ɏÀ-ÖØ-Þ"
@@ -75,6 +78,7 @@ class WordBpe:
         pairs = np.array([(a << 32) | b for a, b in ranks], dtype=np.int64)
         order = np.argsort(pairs)
         self.pair_keys = pairs[order]
+        self.ranks = ranks
         self.pair_ranks, self.pair_made = np.array(list(ranks.values()), dtype=np.int64)[order].T.copy()
         self.names = [""] * size
         for name, at in self.vocab.items():
@@ -143,7 +147,14 @@ class WordBpe:
         return good
 
     def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
-        """Exact merging of all words side by side: each round makes every word's lowest-ranked, leftmost merge."""
+        """Exact merging of all words: long ones by themselves, others side by side, each round making every word's lowest-ranked, leftmost merge."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+        if long:
+            out: list[np.ndarray] = [self.merge_long(w) if len(w) > LONG_WORD else w for w in words]  # type: ignore[misc]
+            short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+            for i, ids in zip(short, self.merge_many([words[i] for i in short]) if short else ()):
+                out[i] = ids
+            return out
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         ids, owner = self.letter[data], np.repeat(np.arange(len(words)), sizes)
@@ -175,6 +186,31 @@ class WordBpe:
         order = np.argsort(owners, kind="stable")
         return np.split(flat[order], np.searchsorted(owners[order], np.arange(1, len(words))))
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Exact merging of one long word: a heap of its merges by rank and place, each letter linked to its neighbours."""
+        ids = self.letter[np.frombuffer(word, dtype=np.uint8)].tolist()
+        ids[-1] = int(self.final_letter[word[-1]])
+        n = len(ids)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(*self.ranks[a, b], at, a, b) for at, (a, b) in enumerate(zip(ids, ids[1:])) if (a, b) in self.ranks]
+        heap = [(rank, at, made, a, b) for rank, made, at, a, b in heap]
+        heapify(heap)
+        while heap:
+            _, at, made, a, b = heappop(heap)
+            right = after[at] if ids[at] == a else -1
+            if right < 0 or ids[right] != b:
+                continue  # one of the two is merged by now
+            ids[at], ids[right] = made, -1
+            after[at] = after[right]
+            if after[at] >= 0:
+                before[after[at]] = at
+            for left in (before[at], at):
+                pair = (ids[left], ids[after[left]]) if left >= 0 and after[left] >= 0 else None
+                if pair in self.ranks:
+                    rank, new = self.ranks[pair]
+                    heappush(heap, (rank, left, new, *pair))
+        return np.array([i for i in ids if i >= 0], dtype=np.int64)
+
     def looked_up(self, a: np.ndarray, b: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of each pair's merge; never where there is none."""
         key = (a << 32) | b
@@ -293,9 +329,9 @@ def encode_decode(docs: DataFrame, vocab_path: str, text: str = "text", ids: str
     with open(vocab_path, "rb") as f:
         source = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+    def run(batch: pa.RecordBatch, names: dict[str, str]) -> list[pa.Array]:
         bpe = loaded(source.value)
-        values, offsets = bpe.encode_batch([x or "" for x in batch.column(text).to_pylist()])
+        values, offsets = bpe.encode_batch([x or "" for x in batch.column(names[text]).to_pylist()])
         texts = [bpe.decode(values[a:b]) for a, b in zip(offsets, offsets[1:])]
         return [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)), pa.array(texts, type=pa.string())]
 
