@@ -6,13 +6,16 @@ source come first. What is left of its target is filled in the order of the keys
 ``-ln(u) / quality`` (``u`` a hash of seed and id, so reruns agree): a document goes in
 while less than half of it lies beyond the target.
 
-No source is ever sorted in one task: keys fall into ``buckets`` ranges, range sums give
-each range's offset, and only rows of one source and range are sorted together.
+In that order the chosen documents of a source are a beginning of it, so one row a source says
+it all: its last key. No source is ever sorted for that. Keys fall into ``buckets`` ranges;
+sums by range tell in which one the target is reached, and only that range's rows are sorted.
+Then each document is compared with its source's last key where it is, so documents, and
+texts above all, aren't shuffled.
 
 Defined results: null text has size 0 and takes nothing; a null source is a source and the
 last one; sources of size 0 have target 0; repeated rows and ids share a key, ties go by
-id, then size; an empty table gives an empty table; an input column named like an output
-column is replaced.
+id (null first), then size, and equal rows are taken alike; an empty table gives an empty
+table; other columns stay, but one named like an output column, in any case, is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barwright.llm.arrow import quoted, spare
 from barwright.llm.words import SPACES, word_count
+from barwright.session import cut
 
 #: Fixed value: weights of the sources in code point order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -51,35 +56,77 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
     return leveled.withColumn("target", target.cast("double")).select("mix_source", "source_size", "mix_weight", "target")
 
 
+def _keyed(docs: DataFrame, kept: list[str], id: str, source: str, size: Column, quality: Column, seed: str, buckets: int) -> DataFrame:
+    """``docs`` as one column, beside which names can't clash, with source, id, size, key and range.
+
+    A null source is told by a column of its own, so that joins are plain ones.
+    """
+    name = F.col(quoted(id))
+    unit = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), name.cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    owner = F.col(quoted(source)).cast("string")
+    rows = docs.select(F.struct(*[F.col(quoted(c)).alias(c) for c in kept]).alias("row"), owner.isNull().alias("nameless"), F.coalesce(owner, F.lit("")).alias("mix_source"), name.alias("id"), size.alias("size"), (-F.log(unit) / quality).alias("key"))
+    return rows.withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int"))
+
+
+def mix_limits(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", size: Column | None = None, quality: Column | None = None, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, seed: str = "mix-1", buckets: int = 1024) -> DataFrame:
+    """(nameless, mix_source, source_size, target, epochs, last_range, last): a row for each source.
+
+    Beyond the epochs a source gives its documents of ranges before ``last_range``, and those in
+    it up to ``last``, a struct of key, id and size.
+    """
+    owner = ["nameless", "mix_source"]
+    size = word_count(F.col(quoted(text))) if size is None else size
+    quality = quality_weight(F.col(quoted(text))) if quality is None else quality
+    rows = _keyed(docs, [id], id, source, size, quality, seed, buckets).drop("row")
+    # sizes are what texts are read for, so they are kept
+    rows = cut(rows)
+    ranges = rows.groupBy(*owner, "range").agg(F.sum("size").alias("words"))
+    named = F.when(~F.col("nameless"), F.col("mix_source")).alias("mix_source")
+    sources = targets(ranges.groupBy(*owner).agg(F.sum("words").alias("source_size")).select(named, "source_size"), weights, cap)
+    epochs = F.floor(F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)) + 1e-9)
+    sources = cut(sources.select(F.col("mix_source").isNull().alias("nameless"), F.coalesce("mix_source", F.lit("")).alias("mix_source"), "source_size", "target", epochs.alias("epochs")))
+    left = F.col("target") - F.col("epochs") * F.col("source_size")
+    ahead = F.coalesce(F.sum("words").over(Window.partitionBy(*owner).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the first range that doesn't go in as a whole; past the last one where all do
+    reached = ranges.withColumn("ahead", ahead).join(sources, owner).where(F.col("ahead") + F.col("words") > left).groupBy(*owner).agg(F.min(F.struct("range", "ahead")).alias("at"))
+    edges = sources.join(reached, owner, "left").select(*owner, left.alias("left"), F.coalesce("at.range", F.lit(buckets + 1)).alias("last_range"), F.coalesce("at.ahead", F.lit(0)).alias("ahead"))
+    inside = rows.where("size > 0").join(edges.withColumnRenamed("last_range", "range"), [*owner, "range"])
+    order = Window.partitionBy(*owner).orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("ahead") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    last = inside.withColumn("start", start).where(F.col("start") + F.col("size") / 2 <= F.col("left")).groupBy(*owner).agg(F.max(F.struct("key", "id", "size")).alias("last"))
+    return sources.join(edges.select(*owner, "last_range"), owner).join(last, owner, "left")
+
+
+def apply_limits(docs: DataFrame, limits: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", size: Column | None = None, quality: Column | None = None, seed: str = "mix-1", buckets: int = 1024) -> DataFrame:
+    """``docs`` with size, source_size, target, copies (times the document is taken) and taken (words).
+
+    A row a source is joined, and a document is compared with it; its size only matters where
+    key and id tie, and is only counted there if the columns made of it aren't read.
+    """
+    made = ("size", "source_size", "target", "copies", "taken")
+    kept = [c for c in docs.columns if c.lower() not in made]
+    size = word_count(F.col(quoted(text))) if size is None else size
+    quality = quality_weight(F.col(quoted(text))) if quality is None else quality
+    rows = _keyed(docs, kept, id, source, size, quality, seed, buckets)
+    joined = rows.join(limits, ["nameless", "mix_source"])
+    at = F.col("last")
+    by_id = F.when(F.col("id").eqNullSafe(at["id"]), F.col("size") <= at["size"]).otherwise(F.col("id").isNull() | F.coalesce(F.col("id") < at["id"], F.lit(False)))
+    upto = F.when(at.isNull(), F.lit(False)).when(F.col("key") < at["key"], True).when(F.col("key") > at["key"], False).otherwise(by_id)
+    picked = F.when(F.col("range") < F.col("last_range"), True).when(F.col("range") > F.col("last_range"), False).otherwise(upto)
+    copies = F.col("epochs") + picked.cast("long")
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in kept], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
 def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", size: Column | None = None, quality: Column | None = None, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, seed: str = "mix-1", buckets: int = 1024) -> DataFrame:
     """``docs`` with size, source_size, target, copies (times the document is taken) and taken (words).
 
     ``size`` and ``quality`` default to the words and the symbol share of ``text``. Pass them as
     columns worked out before, and ``docs`` without texts, where only the decisions matter.
     """
-    made = ("size", "source_size", "target", "copies", "taken")
-    size = word_count(F.col(text)) if size is None else size
-    quality = quality_weight(F.col(text)) if quality is None else quality
-    unit = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(id).cast("string"))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    rows = docs.withColumns({"mix_size": size, "mix_key": -F.log(unit) / quality})
-    # a null source is told by a column of its own, so that join and window share one plain partitioning
-    held = {"mix_bucket": F.floor((1 - F.exp(-F.col("mix_key"))) * buckets).cast("int"), "mix_null": F.col(source).isNull(), "mix_source": F.coalesce(F.col(source), F.lit(""))}
-    rows = rows.withColumns(held).select(*[c for c in docs.columns if c.lower() not in made], "mix_size", "mix_key", *held)
-    ranges = rows.groupBy("mix_null", "mix_source", "mix_bucket").agg(F.sum("mix_size").alias("mix_words"))
-    named = F.when(~F.col("mix_null"), F.col("mix_source")).alias("mix_source")
-    sources = targets(ranges.groupBy("mix_null", "mix_source").agg(F.sum("mix_words").alias("source_size")).select(named, "source_size"), weights, cap)
-    sources = sources.select(F.col("mix_source").isNull().alias("mix_null"), F.coalesce("mix_source", F.lit("")).alias("mix_source"), "source_size", "target")
-    ahead = Window.partitionBy("mix_null", "mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("mix_ahead", F.coalesce(F.sum("mix_words").over(ahead), F.lit(0))).join(sources, ["mix_null", "mix_source"]).drop("mix_words")
-    rows = rows.join(ranges, ["mix_null", "mix_source", "mix_bucket"])
-    inside = Window.partitionBy("mix_null", "mix_source", "mix_bucket").orderBy("mix_key", id, "mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    epochs = F.floor(F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)) + 1e-9)
-    start = F.col("mix_ahead") + F.coalesce(F.sum("mix_size").over(inside), F.lit(0))
-    picked = (F.col("mix_size") > 0) & (start + F.col("mix_size") / 2 <= F.col("target") - F.col("mix_epochs") * F.col("source_size"))
-    rows = rows.withColumn("mix_epochs", epochs).withColumn("copies", F.col("mix_epochs") + picked.cast("long"))
-    return rows.select(*[c for c in docs.columns if c.lower() not in made], F.col("mix_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("mix_size")).alias("taken"))
+    limits = cut(mix_limits(docs, id, source, text, size, quality, weights, cap, seed, buckets))
+    return apply_limits(docs, limits, id, source, text, size, quality, seed, buckets)
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
-    return mixed.where("copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    """The mix itself: each document that has words as often as it is taken."""
+    return mixed.where("copies > 0").select(*[F.col(quoted(c)) for c in columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(spare(columns, "copy_no"))).select(*[quoted(c) for c in columns])

@@ -7,18 +7,18 @@ costs no more than the stage at hand.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.llm.jaccard import jaccard_classes
-from barwright.llm.mixing import mix, repeated
+from barwright.llm.mixing import apply_limits, mix_limits, quality_weight, repeated
 from barwright.llm.queries.op5_quality import judged
 from barwright.llm.queries.op7_bpe import digests, vocab_path
 from barwright.llm.secret_scan import find_secrets, redact
-from barwright.session import shared_dir
+from barwright.llm.words import word_count
+from barwright.session import cut, discard, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -46,8 +46,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each time a document is taken."""
-    return repeated(mix(docs.select(*COLUMNS)), COLUMNS)
+    """The mix: a row for each time a document is taken.
+
+    Texts are measured once; each is then compared with its source's limit where it is stored.
+    """
+    measured = docs.select("doc_id", "source", word_count(F.col("text")).alias("words"), quality_weight(F.col("text")).alias("quality"))
+    limits = cut(mix_limits(measured, size=F.col("words"), quality=F.col("quality")))
+    return repeated(apply_limits(docs.select(*COLUMNS), limits), COLUMNS)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,12 +73,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each but the last is written to the shared folder and read again."""
+    """All stages over the documents; each but the last is written to the shared folder and read again.
+
+    The last stage's rows, ids and digests, are checkpointed, and the folder is removed.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{number}-{name}")
-            docs = spark.read.parquet(f"{folder}/{number}-{name}")
-    return docs
+    folder = scratch(spark, "pipeline")
+    try:
+        for number, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if number < len(STAGES) - 1:
+                docs.write.parquet(f"{folder}/{number}-{name}")
+                docs = spark.read.parquet(f"{folder}/{number}-{name}")
+        return cut(docs)
+    finally:
+        discard(spark, folder)
