@@ -6,9 +6,9 @@ ascending order, and is answered by one row, a value for each hash. So a hash th
 everywhere costs one entry a block, and no exchange has a key that can grow hot.
 
 Most hashes occur in one block only. So blocks first send *probes* - the bucket and the next
-32 bits of each hash - and buckets tell, a bit each, which of them another block has as well.
+27 bits of each hash - and buckets tell, a bit each, which of them another block has as well.
 Only those hashes are asked about in full. A probe that agrees by accident costs an entry and
-changes no result; at the size of a bucket one in some two thousand does, whatever the input.
+changes no result; at the size of a bucket one in some forty does, whatever the input.
 
 Ascending numbers are sent as steps, byte by byte of all, each byte's column compressed where
 that is shorter. All 64 bits come through, whatever the number of buckets.
@@ -27,19 +27,19 @@ from barwright.llm.arrow import quoted, small_batches
 
 #: Bytes of text of a block and of a bucket.
 BLOCK_BYTES, BUCKET_BYTES = 5 << 19, 12 << 20
-PROBE_BITS = 32
+PROBE_BITS = 27
 
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shares(docs: DataFrame, text: str, *more: Column) -> tuple[int, int, tuple]:
+def shares(docs: DataFrame, text: str, *more: Column, block_bytes: int = BLOCK_BYTES) -> tuple[int, int, tuple]:
     """Numbers of blocks and buckets, by the bytes of the texts and enough to busy all tasks; and further aggregates of the same scan."""
     small_batches(docs)
     total, *rest = docs.agg(F.sum(F.octet_length(F.col(quoted(text)))), *more).first()
     total, tasks = total or 0, partitions(docs)
-    return max(1, total // BLOCK_BYTES, min(4 * tasks, total >> 18)), max(1, total // BUCKET_BYTES, min(tasks, total >> 19)), tuple(rest)
+    return max(1, total // block_bytes, min(4 * tasks, total >> 18)), max(1, total // BUCKET_BYTES, min(tasks, total >> 19)), tuple(rest)
 
 
 def in_blocks(docs: DataFrame, id: str, text: str, blocks: int, name: str) -> DataFrame:

@@ -41,6 +41,10 @@ from barwright.llm.blocks import by_bucket, in_blocks, pack_sorted, probes, shar
 from barwright.llm.words import hashed_words, mix, window_hashes, word_count
 
 
+#: Bytes of text of a block; the larger, the fewer times a common n-gram is sent.
+BLOCK_BYTES = 4 << 20
+
+
 class _Block:
     """A block's n-grams of all orders: hashes, the word number each ends at, and the document of each."""
 
@@ -69,7 +73,7 @@ def stupid_backoff(docs: DataFrame, text: str = "text", order: int = 3, backoff:
     """
     made = T.StructType([T.StructField(n, T.DoubleType() if n in ("log_score", "per_word") else T.LongType()) for n in ("n_words", "n_backed_off", "log_score", "per_word")])
     names = {f.name for f in made.fields}
-    blocks, by_bytes, (total,) = shares(docs, text, F.sum(word_count(F.col(quoted(text)))))
+    blocks, by_bytes, (total,) = shares(docs, text, F.sum(word_count(F.col(quoted(text)))), block_bytes=BLOCK_BYTES)
     total, buckets = total or 0, buckets or by_bytes
     kept = [c for c in docs.columns if c.lower() not in names]
     base, safe = numbered(docs, kept)
