@@ -300,7 +300,7 @@ def test_jaccard_classes(spark, none, odd):
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_classes(rows)
-    for settings in ({}, {"tile": 8}, {"hot_rows": 6, "sample": 1}):  # whole components, pairs of tiles, and bands in parts
+    for settings in ({}, {"tile": 8, "hot_rows": 6, "sample": 1}):  # whole components and bands; pairs of tiles and of parts
         got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_classes(df, **settings).collect()}
         assert got == want, settings
     assert jaccard.jaccard_classes(none).count() == 0
@@ -734,6 +734,8 @@ def test_html_query(spark, sf_dir):
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as P
 
+    from barwright import session
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     first = P.quality_rules(spark, docs, sf_dir).cache()
     judged = {r.doc_id: r.kept for r in op5_quality.query(spark, sf_dir).collect()}
@@ -753,17 +755,9 @@ def test_pipeline_stages(spark, sf_dir):
     last = P.bpe_encode(spark, fourth, sf_dir)
     assert last.count() == fourth.count()
     assert P.run(spark, sf_dir).count() == fourth.count()
+    assert not [n for n in os.listdir(session.shared_dir(spark).removeprefix("file://")) if n.startswith("pipeline-")]
 
 
 def test_digests_of_empty_texts(spark):
     rows = op7_bpe.digests(spark.createDataFrame([(1, ""), (2, None)], "doc_id long, text string"), op7_bpe.vocab_path()).collect()
     assert {(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows} == {(0, *[hashlib.sha256(b"").hexdigest()] * 2)}
-
-
-def test_pipeline_leaves_no_folders(spark, sf_dir):
-    import corpus_pipeline as P
-
-    from barwright import session
-
-    P.run(spark, sf_dir).count()
-    assert not [n for n in os.listdir(session.shared_dir(spark).removeprefix("file://")) if n.startswith("pipeline-")]
