@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions import metrics as M
 from barwright.functions import stats as S
+from barwright.operators import limits
 from barwright.operators.fold import Engine, run_backtest, trades
 from barwright.operators.risk import FixedRisk, KellyRisk
 from barwright.operators.robustness import monte_carlo, walk_forward
@@ -99,8 +100,7 @@ def parser() -> argparse.ArgumentParser:
 
 def dates(start: str, end: str) -> tuple[dt.date, dt.date]:
     first, last = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
-    if first > last:
-        raise ValueError("start date must not be after end date")
+    limits.check({"start": first, "end": last}, limits.DATES)
     return first, last
 
 

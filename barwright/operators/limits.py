@@ -58,6 +58,8 @@ WALK_FORWARD = (above("test_window_months", 0, "test_window_months must be posit
 MONTE_CARLO = (above("n_simulations", 0, "n_simulations must be positive"), share("bootstrap_sample_pct"), above("block_size_days", 0, "block_size_days must be positive"))
 CROSSOVER = (Limit(lambda s: (s["short_window"] > 0) & (s["long_window"] > 0), "Window sizes must be positive"), Limit(lambda s: s["short_window"] < s["long_window"], "Short window must be less than long window"), Limit(lambda s: (s["position_size"] > 0) & (s["position_size"] <= 1), "Position size must be between 0 and 1"))
 
+DATES = (Limit(lambda s: s["start"] <= s["end"], "start date must not be after end date"),)
+
 #: Settings of the risk managers.
 RISK_BASE = (share("max_position_size"), share("max_risk_per_trade"), Limit(lambda s: s["max_risk_per_trade"] <= s["max_position_size"], "max_risk_per_trade ({max_risk_per_trade}) cannot exceed max_position_size ({max_position_size})"))
 FIXED_RISK = (share("position_size_pct"), share("stop_loss_pct", zero=True), above("max_positions", 0, "max_positions must be positive"), share("max_risk_per_trade"), Limit(lambda s: s["position_size_pct"] * s["stop_loss_pct"] <= s["max_risk_per_trade"], "Position size ({position_size_pct}) * stop loss ({stop_loss_pct}) exceeds max risk per trade ({max_risk_per_trade})"))

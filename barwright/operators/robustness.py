@@ -81,7 +81,7 @@ def samples(bars: DataFrame, plan: DataFrame) -> DataFrame:
 def plain_samples(bars: DataFrame, simulations: int, share: float = 0.8, seed: int = 42) -> DataFrame:
     """Samples without blocks, for series shorter than one: the rows whose hashes are lowest, as (symbol, sim, ts, close)."""
     drawn = bars.select("symbol", "ts", "close").withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
-    order = Window.partitionBy("symbol", "sim").orderBy(F.xxhash64(F.lit(seed), "sim", "ts"), "ts")
+    order = Window.partitionBy("symbol", "sim").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sim").cast("string"), F.unix_micros("ts").cast("string"))), "ts")
     total = F.count("*").over(Window.partitionBy("symbol", "sim"))
     return drawn.withColumns({"_n": F.row_number().over(order), "_of": total}).where(F.col("_n") <= F.floor(F.col("_of") * share)).drop("_n", "_of")
 

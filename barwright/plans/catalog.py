@@ -6,9 +6,11 @@ infinite profit factor comes out as null.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,13 +23,14 @@ from barwright.operators import validation as V
 from barwright.operators.cleaning import FillNulls, GapReport, InfiniteToNull, OhlcRules, QualityRules, default_cleaner
 from barwright.operators.fold import Engine, simulate, trades, trades_sql
 from barwright.operators.risk import FixedRisk, book_summary
-from barwright.operators.search import MA_SPACE, ParameterSpace, best_by_metric, evaluate, ranked
+from barwright.operators.search import MA_SPACE, ParameterSpace, best_by_metric, create_optimizer, evaluate, ranked
 from barwright.operators.signals import MaCrossover
 from barwright.operators.validation import between, violations
 from barwright.plans import sql as Q
 from barwright.session import cut, discard, scratch
 from barwright.sources import files, sinks
 from barwright.sources.bars import VALUES, dirty_bars, events_bars, orders_bars
+from barwright.sources.remote import ExchangeSource, QuoteSource
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -710,3 +713,136 @@ _CROSSOVER_SETTINGS = {"short_window": "s_suppkey % 20 - 1", "long_window": "s_n
 @register(_complaint_sql(_CROSSOVER_SETTINGS, [("short_window > 0 AND long_window > 0", "Window sizes must be positive"), ("short_window < long_window", "Short window must be less than long window"), ("position_size > 0 AND position_size <= 1", "Position size must be between 0 and 1")]))
 def strategy_settings_check(spark, sf_dir):
     return limits.first_complaint(_settings(spark, sf_dir, **_CROSSOVER_SETTINGS), limits.CROSSOVER).select("s_suppkey", "complaint")
+
+
+_KELLY_SETTINGS = {"lookback_periods": "s_suppkey % 6", "min_trades_for_kelly": "s_nationkey % 5", "max_positions": "s_suppkey % 4", "max_kelly_fraction": "cast(s_suppkey % 13 AS double) / 10", "max_risk_per_trade": "cast(s_nationkey % 12 AS double) / 10", "fractional_kelly": "cast(s_suppkey % 7 AS double) / 4", "stop_loss_pct": "cast(s_suppkey % 9 AS double) / 6 - 0.2"}
+_FRACTION = lambda n: (f"{n} > 0 AND {n} <= 1", f"{n} must be between 0 and 1")
+_POSITIVE = lambda n: (f"{n} > 0", f"{n} must be positive")
+
+
+@register(_complaint_sql(_KELLY_SETTINGS, [*map(_POSITIVE, ("lookback_periods", "min_trades_for_kelly", "max_positions")), *map(_FRACTION, ("max_kelly_fraction", "max_risk_per_trade", "fractional_kelly")), ("stop_loss_pct >= 0 AND stop_loss_pct <= 1", "stop_loss_pct must be between 0 and 1")]))
+def kelly_settings_check(spark, sf_dir):
+    return limits.first_complaint(_settings(spark, sf_dir, **_KELLY_SETTINGS), limits.KELLY_RISK).select("s_suppkey", "complaint")
+
+
+_BASE_SETTINGS = {"max_position_size": "cast(s_suppkey % 12 AS double) / 10", "max_risk_per_trade": "cast(s_nationkey % 12 AS double) / 10"}
+
+
+@register(_complaint_sql(_BASE_SETTINGS, [*map(_FRACTION, ("max_position_size", "max_risk_per_trade")), ("max_risk_per_trade <= max_position_size", "max_risk_per_trade ({max_risk_per_trade}) cannot exceed max_position_size ({max_position_size})")]))
+def risk_relationship_check(spark, sf_dir):
+    return limits.first_complaint(_settings(spark, sf_dir, **_BASE_SETTINGS), limits.RISK_BASE).select("s_suppkey", "complaint")
+
+
+@register("SELECT l_linestatus, CASE WHEN NOT l_commitdate <= l_receiptdate THEN 'start date must not be after end date' END AS complaint, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def date_range_check(spark, sf_dir):
+    dates = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linestatus", F.col("l_commitdate").alias("start"), F.col("l_receiptdate").alias("end"))
+    return limits.first_complaint(dates, limits.DATES).groupBy("l_linestatus", "complaint").agg(F.count("*").alias("n"))
+
+
+@register(Q.chain(*_GRID_RESULTS) + f"SELECT combo_id::BIGINT AS combo_id, symbol, {_RESULT_COLUMNS} FROM results ORDER BY results.win_rate DESC, combo_id, symbol LIMIT 5")
+def grid_optimizer_top_k(spark, sf_dir):
+    """The search object, made by its factory."""
+    return _results(create_optimizer("grid", orders_bars(spark, sf_dir), GRID, engine=ENGINE, sort_by="win_rate").optimize(5), "combo_id", "symbol")
+
+
+@register(Q.chain(*_WF_RESULTS) + f"SELECT r.symbol, r.period, {Q.when('p.test_start')} AS test_start, {Q.when('p.test_end')} AS test_end, p.n_rows AS test_data_points FROM results r JOIN periods p ON p.symbol = r.symbol AND p.period = r.period")
+def walk_forward_metadata(spark, sf_dir):
+    return R.walk_forward(orders_bars(spark, sf_dir), _WF_STRATEGY).select("symbol", "period", "test_start", "test_end", "test_data_points")
+
+
+@register(Q.chain(Q.ORDERS_BARS) + "SELECT symbol, sim, count(*) AS n, round(sum(close), 4) AS total FROM (SELECT symbol, sim, close, row_number() OVER (PARTITION BY symbol, sim ORDER BY md5('42|' || sim || '|' || epoch_us(ts))) AS place, count(*) OVER (PARTITION BY symbol, sim) AS whole FROM bars CROSS JOIN range(3) s(sim)) WHERE place <= floor(whole * 0.8::DOUBLE) GROUP BY symbol, sim")
+def mc_plain_samples(spark, sf_dir):
+    """Samples of single rows, as series shorter than a block get them."""
+    return R.plain_samples(orders_bars(spark, sf_dir), 3).groupBy("symbol", "sim").agg(F.count("*").alias("n"), F.round(F.sum("close"), 4).alias("total"))
+
+
+@register(Q.chain(*_TRADED) + f"SELECT symbol, {_TRADE_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY row_idx) AS place FROM trades) WHERE place <= 5")
+def first_trades(spark, sf_dir):
+    return sinks.first_trades(trades(_simulated(spark, sf_dir))).drop(*_EXTRA)
+
+
+@register(Q.chain(Q.DIRTY_BARS) + f"SELECT symbol, {Q.when('ts')} AS ts, " + ", ".join(f"round(CASE WHEN NOT isinf({c}) AND NOT isnan({c}) THEN {c} END, 6) AS {c}" for c in VALUES) + ", seq FROM dirty")
+def export_without_infinities(spark, sf_dir):
+    return sinks.without_infinities(dirty_bars(spark, sf_dir))
+
+
+@register(Q.chain(*_GRID_RESULTS) + f"SELECT combo_id::BIGINT AS combo_id, symbol, {Q.r6('final_capital', 'sharpe_ratio', 'win_rate')}, total_trades FROM results ORDER BY results.total_return_pct DESC, combo_id, symbol LIMIT 10")
+def search_json(spark, sf_dir):
+    """A search's results file, read again."""
+    found = ranked(_grid(spark, sf_dir), "total_return", 10)
+    schema = "results array<struct<combo_id:bigint,symbol:string,final_capital:double,sharpe_ratio:double,win_rate:double,total_trades:bigint>>"
+    write = lambda f: (os.makedirs(f.removeprefix("file://")), sinks.results_json(found, f"{f.removeprefix('file://')}/found.json"))
+    return _again(spark, "json", write, lambda f: spark.read.schema(schema).option("multiLine", True).json(f).select(F.explode("results").alias("r")).select("r.*"))
+
+
+@register(Q.chain(*_RESULTS) + f"SELECT symbol, {Q.r6('final_capital', 'max_drawdown', 'win_rate')}, total_trades, 'run-1' AS backtest_id FROM results WHERE symbol = '{_ONE}'")
+def csv_sink_metadata(spark, sf_dir):
+    """The CSV sink's JSON file: metadata of the run's result."""
+    schema = "symbol string, final_capital double, max_drawdown double, win_rate double, total_trades bigint, backtest_id string"
+
+    def write(folder: str) -> None:
+        manager = sinks.SinkManager()
+        manager.add_named(["csv"], output_dir=folder.removeprefix("file://"))
+        manager.export(_run_one(spark, sf_dir), "run-1")
+
+    return _again(spark, "sink", write, lambda f: spark.read.schema(schema).option("multiLine", True).json(f"{f}/*_metadata.json"))
+
+
+@register(Q.chain(*_CURVE, Q.pairs("symbol")) + f"SELECT 'barwright-backtests' AS index, 1::BIGINT AS n UNION ALL SELECT 'barwright-portfolio', count(*) FROM curve WHERE symbol = '{_ONE}' UNION ALL SELECT 'barwright-trades', count(*) FROM trades WHERE symbol = '{_ONE}' UNION ALL SELECT 'barwright-positions', count(*) FROM pairs WHERE symbol = '{_ONE}'")
+def document_index_counts(spark, sf_dir):
+    """What the index admin sees of an export."""
+    folder = scratch(spark, "index")
+    try:
+        sinks.DocumentSink(path=folder.removeprefix("file://")).export(_run_one(spark, sf_dir), "run-1", {})
+        counts = sinks.IndexAdmin(sinks.FolderIndex(folder.removeprefix("file://"))).counts()
+    finally:
+        discard(spark, folder)
+    return spark.createDataFrame(sorted(counts.items()), "index string, n long")
+
+
+# downloads through clients that make up their candles
+
+
+def _candles(symbol: str, frame: str, since: int, limit: int) -> list[list[float]]:
+    """Daily candles of 2024 from ``since`` on."""
+    first, day = 1_704_067_200_000, 86_400_000
+    start = max(0, -(-(since - first) // day))
+    return [[first + day * n, 100 + n % 7, 110 + n % 7, 90 + n % 7, 101 + n % 5, 1000 + n] for n in range(start, min(366, start + limit))]
+
+
+_CANDLES_SQL = "SELECT '{s}' AS symbol, strftime(TIMESTAMP '2024-01-01' + to_days(n::INT), '%Y-%m-%d %H:%M:%S') AS ts, (100 + n % 7)::DOUBLE AS open, (110 + n % 7)::DOUBLE AS high, (90 + n % 7)::DOUBLE AS low, (101 + n % 5)::DOUBLE AS close, (1000 + n)::DOUBLE AS volume FROM range({a}, {b}) t(n)"
+
+
+@register(_CANDLES_SQL.format(s="BTC/USDT", a=31, b=335))
+def exchange_download(spark, sf_dir):
+    """Pages of a hundred candles, put together."""
+    day, first = 86_400_000, 1_704_067_200_000
+    source = ExchangeSource({"made": _candles})
+    return source.download(spark, "made", "BTC/USDT", source.timeframes()[-3], first + 31 * day, first + 334 * day, limit=100)
+
+
+@register("SELECT strftime(TIMESTAMP '2024-01-01' + to_days(n::INT), '%Y-%m-%d %H:%M:%S') AS Date, (100 + n % 7)::DOUBLE AS Open, (110 + n % 7)::DOUBLE AS High, (90 + n % 7)::DOUBLE AS Low, (101 + n % 5)::DOUBLE AS Close, (1000 + n)::DOUBLE AS Volume FROM range(366) t(n)")
+def quote_download(spark, sf_dir):
+    """Daily quotes whose columns come in two levels and another order."""
+
+    def fetch(ticker: str, start: str, end: str, interval: str) -> pd.DataFrame:
+        rows = _candles(ticker, interval, 0, 366)
+        names = ("Open", "High", "Low", "Close", "Volume")
+        frame = pd.DataFrame([[float(x) for x in r[:0:-1]] for r in rows], index=pd.to_datetime([r[0] for r in rows], unit="ms"))
+        frame.columns = pd.MultiIndex.from_tuples([(n, ticker) for n in reversed(names)])
+        return frame
+
+    return QuoteSource(fetch).download(spark, "MADE", "2024-01-01", "2024-12-31", "1d")
+
+
+@register(Q.chain(*_CLEAN, Q.filled("c1", "c2"), Q.price_rules("c2", "c3"), Q.quality("c3", "c4")) + f"SELECT {Q.when('ts')} AS ts, {Q.r6(*VALUES)} FROM c4 WHERE symbol = '{_ONE}'")
+def csv_clean_file(spark, sf_dir):
+    """A dirty file cleaned into another one."""
+    dirty = dirty_bars(spark, sf_dir).where(F.col("symbol") == _ONE)
+
+    def write(folder: str) -> None:
+        dirty.coalesce(1).sortWithinPartitions("seq").select(F.col("ts").alias("timestamp"), *VALUES).write.options(**files.CSV).csv(f"{folder}/dirty")
+        if not files.clean_file(spark, f"{folder}/dirty", f"{folder}/clean"):
+            raise ValueError("the file can't be cleaned")
+
+    return _again(spark, "csv", write, lambda f: files.load_for_backtest(spark, f"{f}/clean", symbol=_ONE).select("ts", *VALUES))

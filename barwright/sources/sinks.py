@@ -21,7 +21,7 @@ from functools import partial
 from itertools import islice
 from typing import Any, Protocol
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,6 +91,12 @@ def positions_frame(trades: DataFrame, backtest_id: str, created_at: dt.datetime
     return without_infinities(rows.select(*MAPPINGS["positions"].names))
 
 
+def first_trades(trades: DataFrame, n: int = 5, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The first trades of each run."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("row_idx"))
+    return trades.withColumn("trade_place", place).where(F.col("trade_place") <= n).drop("trade_place")
+
+
 def validate_run(run: Run) -> bool:
     """False without equity; a run without trades only warns."""
     if not run.equity.take(1):
@@ -119,7 +125,7 @@ class ConsoleSink(Sink):
             print(f"{row['strategy_name']} on {row['symbol']}: {row['start_date']:%Y-%m-%d} to {row['end_date']:%Y-%m-%d}")
             for c in ("initial_capital", "final_capital", "total_return", "total_return_pct", "max_drawdown", "sharpe_ratio", "win_rate", "total_trades"):
                 print(f"  {c}: {row[c]:,.2f}" if isinstance(row[c], float) else f"  {c}: {row[c]}")
-        for t in run.trades.orderBy("row_idx").limit(5).collect():
+        for t in first_trades(run.trades).orderBy("symbol", "row_idx").limit(20).collect():
             print(f"  {t['ts']:%Y-%m-%d} {t['side'].upper()} {t['quantity']:.4f} at {t['price']:.2f}")
 
 
