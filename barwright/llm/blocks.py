@@ -10,6 +10,9 @@ Most hashes occur in one block only. So blocks first send *probes* - the bucket
 Only those hashes are asked about in full. A probe that agrees by accident costs an entry and
 changes no result; at the size of a bucket one in some forty does, whatever the input.
 
+Of these only the bits below the probe are sent: a bucket still has the probes, from the same
+exchange, and knows which are shared (``rest`` and ``whole``).
+
 Ascending numbers are sent as steps, byte by byte of all, each byte's column compressed where
 that is shorter. All 64 bits come through, whatever the number of buckets.
 """
@@ -90,6 +93,27 @@ def shared_hashes(ascending: np.ndarray, buckets: int, told: dict[int, bytes]) -
     return out
 
 
+def rest(ascending: np.ndarray, buckets: int) -> tuple[bytes, bytes]:
+    """Shared hashes of one bucket: the bits below their probes, and a bit for each that begins a new probe."""
+    shift = probe_shift(buckets)
+    probe = ascending >> shift
+    low = ascending & ((np.uint64(1) << shift) - np.uint64(1))
+    return squeeze(low.astype(np.int64), True), np.packbits(np.concatenate([[True], probe[1:] != probe[:-1]])[: len(probe)]).tobytes()
+
+
+def whole(shared: np.ndarray, low: bytes, fresh: bytes, buckets: int) -> np.ndarray:
+    """The hashes again, by the block's shared probes."""
+    bits = unsqueeze(low).astype(np.uint64)
+    first = np.unpackbits(np.frombuffer(fresh, dtype=np.uint8), count=len(bits)).astype(np.int64)
+    return (shared[np.cumsum(first) - 1] << probe_shift(buckets)) | bits
+
+
+def shared_lists(table: pa.Table, block: str) -> dict[int, np.ndarray]:
+    """Each block's probes that another block has too, as the bucket told it."""
+    lists = [unpack_sorted(x) for x in table.column("probes").to_pylist()]
+    return {b: x[np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=len(x)).astype(bool)] for b, x, bits in zip(table.column(block).to_pylist(), lists, told_shared(lists), strict=True)}
+
+
 def distinct(values: np.ndarray, ascending: bool = False) -> np.ndarray:
     values = values if ascending else np.sort(values)
     return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values

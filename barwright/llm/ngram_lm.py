@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from barwright.llm.arrow import numbered, quoted, utf8
-from barwright.llm.blocks import by_bucket, in_blocks, pack_sorted, probes, shared_hashes, shares, squeeze, tell, unpack_sorted, unsqueeze
+from barwright.llm.blocks import by_bucket, in_blocks, pack_sorted, probes, rest, shared_hashes, shared_lists, shares, squeeze, tell, unsqueeze, whole
 from barwright.llm.words import hashed_words, mix, window_hashes, word_count
 
 
@@ -95,13 +95,16 @@ def stupid_backoff(docs: DataFrame, text: str = "text", order: int = 3, backoff:
             asked = shared_hashes(grams, buckets, dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True)))
             grams, counts, number = grams[asked], counts[asked], table.column(where)[0].as_py()
             for bucket, own in by_bucket(grams, buckets):
-                for key, value in zip(out, (bucket, number, pack_sorted(grams[own]), squeeze(counts[own], True)), strict=True):
+                for key, value in zip(out, (bucket, number, *rest(grams[own], buckets), squeeze(counts[own], True)), strict=True):
                     out[key].append(value)
         return pa.table(out, schema=questions)
 
-    def count(table: pa.Table) -> pa.Table:
+    def count(sent: pa.Table, table: pa.Table) -> pa.Table:
         """A bucket's count table, joined back: what other blocks hold of each block's n-grams."""
-        grams = [unpack_sorted(x) for x in table.column("grams").to_pylist()]
+        if not table.num_rows:
+            return answered.empty_table()
+        known = shared_lists(sent, where)
+        grams = [whole(known[b], x, y, buckets) for b, x, y in zip(*(table.column(c).to_pylist() for c in (where, "grams", "fresh")), strict=True)]
         own = np.concatenate([unsqueeze(x) for x in table.column("counts").to_pylist()])
         _, which = np.unique(np.concatenate(grams), return_inverse=True)
         elsewhere = np.bincount(which, weights=own).astype(np.int64)[which] - own
@@ -156,12 +159,13 @@ def stupid_backoff(docs: DataFrame, text: str = "text", order: int = 3, backoff:
 
     probed = pa.schema([("bucket", pa.int32()), (where, pa.int32()), ("probes", pa.binary())])
     told = pa.schema([(where, pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
-    questions = pa.schema([("bucket", pa.int32()), (where, pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+    questions = pa.schema([("bucket", pa.int32()), (where, pa.int32()), ("grams", pa.binary()), ("fresh", pa.binary()), ("counts", pa.binary())])
     answered = pa.schema([(where, pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary())])
     out_type = T.StructType([f for f in rows.schema.fields if f.name != where] + made.fields)
     out_schema = to_arrow_schema(out_type)
-    bits = rows.groupBy(where).applyInArrow(probe, f"bucket int, {where} int, probes binary").groupBy("bucket").applyInArrow(answered_probes, f"{where} int, bucket int, bits binary")
-    asked = rows.groupBy(where).cogroup(bits.groupBy(where)).applyInArrow(ask, f"bucket int, {where} int, grams binary, counts binary")
-    counts = asked.groupBy("bucket").applyInArrow(count, f"{where} int, bucket int, counts binary")
+    sent = rows.groupBy(where).applyInArrow(probe, f"bucket int, {where} int, probes binary")
+    bits = sent.groupBy("bucket").applyInArrow(answered_probes, f"{where} int, bucket int, bits binary")
+    asked = rows.groupBy(where).cogroup(bits.groupBy(where)).applyInArrow(ask, f"bucket int, {where} int, grams binary, fresh binary, counts binary")
+    counts = sent.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(count, f"{where} int, bucket int, counts binary")
     answers = bits.unionByName(counts, allowMissingColumns=True)
     return rows.groupBy(where).cogroup(answers.groupBy(where)).applyInArrow(scored, out_type).toDF(*kept, *made.names)

@@ -106,6 +106,9 @@ def test_hashes_come_back_whole(buckets):
             told[k][bucket] = bits
     assert set(values[::20]) <= set(one[blocks.shared_hashes(one, buckets, told[0])])
     assert blocks.shared_hashes(one, buckets, told[0]).sum() <= len(values[::20]) + 5
+    for bucket, own in blocks.by_bucket(values, buckets):
+        few = blocks.distinct(values[own] >> blocks.probe_shift(buckets), True)
+        assert (blocks.whole(few, *blocks.rest(values[own], buckets), buckets) == values[own]).all()
     for x in ([], [0, 255], [70000], [-5, 2**60]):
         for by_byte in (False, True):
             assert blocks.unsqueeze(blocks.squeeze(np.array(x, dtype=np.int64), by_byte)).tolist() == x
