@@ -733,9 +733,9 @@ def risk_relationship_check(spark, sf_dir):
     return limits.first_complaint(_settings(spark, sf_dir, **_BASE_SETTINGS), limits.RISK_BASE).select("s_suppkey", "complaint")
 
 
-@register("SELECT l_linestatus, CASE WHEN NOT l_commitdate <= l_receiptdate THEN 'start date must not be after end date' END AS complaint, count(*) AS n FROM lineitem GROUP BY 1, 2")
+@register("SELECT l_linestatus, CASE WHEN NOT l_shipdate::DATE <= DATE '1993-01-01' + (l_orderkey % 1500)::INT THEN 'start date must not be after end date' END AS complaint, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def date_range_check(spark, sf_dir):
-    dates = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linestatus", F.col("l_commitdate").alias("start"), F.col("l_receiptdate").alias("end"))
+    dates = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linestatus", F.col("l_shipdate").cast("date").alias("start"), F.expr("date_add(DATE '1993-01-01', cast(l_orderkey % 1500 AS int))").alias("end"))
     return limits.first_complaint(dates, limits.DATES).groupBy("l_linestatus", "complaint").agg(F.count("*").alias("n"))
 
 
