@@ -27,6 +27,9 @@ from barwright.llm.arrow import quoted, spare
 from barwright.llm.words import SPACES, word_count
 from barwright.session import cut
 
+#: Sources whose limits, a row each, may be broadcast; more are joined as any other table.
+BROADCAST_SOURCES = 100_000
+
 #: Fixed value: weights of the sources in code point order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
 
@@ -100,15 +103,17 @@ def mix_limits(docs: DataFrame, id: str = "doc_id", source: str = "source", text
 def apply_limits(docs: DataFrame, limits: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", size: Column | None = None, quality: Column | None = None, seed: str = "mix-1", buckets: int = 1024) -> DataFrame:
     """``docs`` with size, source_size, target, copies (times the document is taken) and taken (words).
 
-    A row a source is joined, and a document is compared with it; its size only matters where
-    key and id tie, and is only counted there if the columns made of it aren't read.
+    A row a source is joined, by a broadcast up to BROADCAST_SOURCES of them (counted), and a
+    document is compared with it; its size only matters where key and id tie, and is only
+    counted there if the columns made of it aren't read. ``limits`` should be stored.
     """
     made = ("size", "source_size", "target", "copies", "taken")
     kept = [c for c in docs.columns if c.lower() not in made]
     size = word_count(F.col(quoted(text))) if size is None else size
     quality = quality_weight(F.col(quoted(text))) if quality is None else quality
     rows = _keyed(docs, kept, id, source, size, quality, seed, buckets)
-    joined = rows.join(limits, ["nameless", "mix_source"])
+    few = limits.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    joined = rows.join(F.broadcast(limits) if few else limits, ["nameless", "mix_source"])
     at = F.col("last")
     by_id = F.when(F.col("id").eqNullSafe(at["id"]), F.col("size") <= at["size"]).otherwise(F.col("id").isNull() | F.coalesce(F.col("id") < at["id"], F.lit(False)))
     upto = F.when(at.isNull(), F.lit(False)).when(F.col("key") < at["key"], True).when(F.col("key") > at["key"], False).otherwise(by_id)
